@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.session import ship
+
 #: A word is a run of anything but the six ASCII white-space characters; bytes.split() cuts at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -28,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that a lost executor costs one read and not the whole lineage."""
-    shared_dir(df.sparkSession)
+    shared_dir(ship(df.sparkSession))
     return df.checkpoint()
 
 
@@ -36,6 +38,7 @@ class Store:
     """A new folder of binary files below the shared one. It is pickled to the executors; put() replaces a file at once, so a repeated task is harmless."""
 
     def __init__(self, spark: SparkSession, kind: str):
+        ship(spark)
         self.uri = f"{shared_dir(spark).rstrip('/')}/quire-{kind}-{uuid.uuid4().hex}"
 
     def fs(self):
@@ -96,4 +99,10 @@ def words_of(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def picked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """`k`, `t`: key and text alone, a null text as an empty one; ready for Python functions on executors."""
+    ship(docs.sparkSession)
+    return docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))

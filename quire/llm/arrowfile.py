@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._shared import Store
+from quire.llm._shared import Store, picked
 from quire.llm.tokens import json_encoder
 
 SEQUENCE, BATCH = 2_048, 64
@@ -104,7 +104,7 @@ def encode_to_files(docs: DataFrame, vocabulary: str, end_id: int = 0, key: str
     """Writes the shards; returns where they are and, in order, each shard's name, base, n_tokens and n_docs (one entry per partition, never per document)."""
     spark = docs.sparkSession
     store = Store(spark, "tokens")
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = picked(docs, key, text)
     kind = rows.schema["k"].dataType.simpleString()
     ordered = rows.repartitionByRange("k").sortWithinPartitions("k", F.xxhash64("t"))
 

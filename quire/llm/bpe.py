@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm._shared import picked
 from quire.llm.tokens import RankEncoder, rank_encoder
+from quire.session import ship
 
 CHUNK, OVERLAP = 32_768, 2_048
 
@@ -26,7 +28,7 @@ CHUNK, OVERLAP = 32_768, 2_048
 def encode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """`key`, `ids` (binary: little-endian unsigned 32-bit ids). vocabulary: a rank file's path on every executor."""
     assert 0 < overlap < chunk
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = picked(docs, key, text)
     kind = rows.schema["k"].dataType.simpleString()
     size = F.length("t")
     short = rows.filter(size <= chunk).mapInArrow(_whole(vocabulary, pattern), f"k {kind}, ids binary")
@@ -41,6 +43,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id",
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """The rows of `encoded` with column `to` (binary): the bytes of all ids, one after the other; null ids give null. A column named `to` is replaced."""
+    ship(encoded.sparkSession)
     rows = encoded.drop(to) if to != ids else encoded.withColumnRenamed(ids, "_ids")
     source = ids if to != ids else "_ids"
     out = T.StructType([*rows.schema.fields, T.StructField(to, T.BinaryType())])
