@@ -1,8 +1,8 @@
 """Token ids as Arrow stream files of fixed-size lists: equal-length sequences with masks, read in place by memory mapping.
 
 encode_to_files() range-sorts the documents by key, appends an end id to each, and writes one shard per partition: a
-stream of record batches whose two columns are fixed-size lists, `ids` (uint32) and `mask` (bool, false where the last
-sequence is padded). Beside it lies the shard's index (key, start in the shard, length). A shard's ids follow those of the
+stream of record batches whose two columns are fixed-size lists, `ids` (uint16 where that holds every id of the vocabulary,
+else uint32) and `mask` (bool, false where the last sequence is padded). Beside it lies the shard's index (key, start in the shard, length). A shard's ids follow those of the
 shard before it, so a document's place among all ids is its shard's base plus its start; the bases are a running sum over
 one number per shard. Files are moved into place when complete, so a task that is run again replaces the same file.
 
@@ -25,32 +25,34 @@ from quire.llm.tokens import json_encoder
 SEQUENCE, BATCH = 2_048, 64
 
 
-def sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
+def sequence_schema(length: int, ids: int) -> pa.Schema:
+    """ids: the number of ids that may occur."""
+    return pa.schema([("ids", pa.list_(pa.uint16() if ids <= 1 << 16 else pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class ShardWriter:
     """Collects ids and writes full batches of `batch` sequences; close() pads and writes the rest."""
 
-    def __init__(self, sink, length: int = SEQUENCE, batch: int = BATCH):
+    def __init__(self, sink, ids: int, length: int = SEQUENCE, batch: int = BATCH):
         self.length, self.unit, self.held, self.size, self.total = length, length * batch, [], 0, 0
-        self.schema = sequence_schema(length)
+        self.schema = sequence_schema(length, ids)
+        self.kind = self.schema.field("ids").type.value_type.to_pandas_dtype()
         self.out = pa.ipc.new_stream(sink, self.schema)
 
     def add(self, ids: np.ndarray) -> None:
-        self.held.append(ids)
+        self.held.append(ids.astype(self.kind))
         self.size += len(ids)
         self.total += len(ids)
         if self.size >= self.unit:
             self._write(self.size - self.size % self.unit)
 
     def _write(self, n: int) -> None:
-        all_ids = np.concatenate(self.held) if self.held else np.empty(0, "<u4")
+        all_ids = np.concatenate(self.held) if self.held else np.empty(0, self.kind)
         now, rest = all_ids[:n], all_ids[n:]
         for i in range(0, len(now), self.unit):
             part = now[i : i + self.unit]
             full = -(-len(part) // self.length) * self.length
-            ids = np.zeros(full, "<u4")
+            ids = np.zeros(full, self.kind)
             ids[: len(part)] = part
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, np.arange(full) < len(part))]
             self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
@@ -115,7 +117,7 @@ def encode_to_files(docs: DataFrame, vocabulary: str, end_id: int = 0, key: str
         name = f"{TaskContext.get().partitionId():08d}"
         keys, lengths = [], []
         with store.writer(f"{name}.arrow") as sink:
-            out = ShardWriter(sink, length, batch)
+            out = ShardWriter(sink, max(encoder.lib.get_vocab_size(), end_id + 1), length, batch)
             for b in batches:
                 keys.append(b.column(0))
                 for t in b.column(1):
@@ -153,7 +155,7 @@ def read_documents(docs: DataFrame, store: Store, shards: list[dict], key: str =
                 for i in range(0, index.num_rows, 1000):
                     part = index.slice(i, 1000)
                     starts, sizes = (part.column(c).to_numpy() for c in ("start", "n_tokens"))
-                    ids = [shard.ids(s, n).tobytes() for s, n in zip(starts, sizes, strict=True)]
+                    ids = [shard.ids(s, n).astype("<u4").tobytes() for s, n in zip(starts, sizes, strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column("key").combine_chunks() if part.num_rows else pa.array([], part.schema.field("key").type), pa.array(starts + base), pa.array(sizes), pa.array(ids, pa.binary())], names=["k", "start", "n_tokens", "ids"])
 
     return plan.mapInArrow(run, f"k {kind}, start long, n_tokens long, ids binary").withColumnRenamed("k", key)

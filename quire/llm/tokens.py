@@ -1,7 +1,8 @@
 """Encoders of whole texts by the vocabularies of public tokenizers, on the executors.
 
-A text is cut where every pre-tokeniser here cuts as well (before a single space between two other characters), and the
-ids of each chunk, and of each pre-token in it, are remembered. What isn't plain Latin text goes to the library as a whole.
+A text is cut before each space, and the ids of each chunk, and of each pre-token in it, are remembered. The pre-tokenisers
+here cut before a space as well, whatever comes before it, unless two spaces are neighbours or the text ends in one; such
+texts go to the library as a whole, and so do chunks that aren't plain Latin text.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import re
 from array import array
 from functools import lru_cache
 
-_WIDE_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
 #: Characters whose classes are the same to every regular-expression library, and which Unicode composition leaves alone.
 _ODD = re.compile("[^\n\x20-\x7e¡-¬®-įĲ-ſ]")
 
@@ -49,17 +49,18 @@ class RankEncoder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.lib = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
-        self.piece = Memory(lambda p: _ids(self.lib.encode_ordinary(p)), 150_000)
+        self.first = Memory(lambda p: _ids(self.lib.encode_ordinary(p)), 50_000)
+        self.spaced = Memory(lambda p: _ids(self.lib.encode_ordinary(" " + p)), 250_000)
 
     def ends(self, text: str) -> list[int]:
         """Where each pre-token ends."""
         return [m.end() for m in self.pattern.finditer(text)]
 
     def encode(self, text: str) -> bytes:
-        if _WIDE_SPACE.search(text):
+        if uncuttable(text):
             return _ids(self.lib.encode_ordinary(text))
         first, *rest = text.split(" ")
-        return self.piece[first] + b"".join(map(self.piece.__getitem__, [" " + x for x in rest]))
+        return self.first[first] + b"".join(map(self.spaced.__getitem__, rest))
 
     def raw(self) -> list[bytes]:
         """The bytes of each id."""
@@ -89,8 +90,9 @@ class JsonEncoder:
         self.pattern = regex.compile(split[0] if split else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.letters = _byte_letters()
         self.model = self.lib.model
-        self.token = Memory(self._token, 150_000)
-        self.piece = Memory(self._piece, 150_000)
+        self.token = Memory(self._token, 100_000)
+        self.first = Memory(self._piece, 50_000)
+        self.spaced = Memory(self._piece if self.words else lambda p: self._piece(" " + p), 250_000)
 
     def _token(self, word: str) -> bytes:
         return _ids([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
@@ -98,15 +100,25 @@ class JsonEncoder:
     def _piece(self, text: str) -> bytes:
         if not self.known or _ODD.search(text):
             return _ids(self.lib.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.token.__getitem__, self.pattern.findall(text.lower() if self.words else text)))
+        if self.words:
+            text = text.lower()
+        if text[text[:1] == " " :].isalpha():
+            return self.token[text]
+        if text[text[:1] == " " : -1].isalpha() and text[-1] in ".,":
+            return self.token[text[:-1]] + self.token[text[-1]]
+        return b"".join(map(self.token.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: str) -> bytes:
         if self.words:
-            return b"".join(map(self.piece.__getitem__, text.replace("\n", " ").split(" ")))
-        if _WIDE_SPACE.search(text):
+            return b"".join(map(self.spaced.__getitem__, text.replace("\n", " ").split(" ")))
+        if uncuttable(text):
             return _ids(self.lib.encode(text, add_special_tokens=False).ids)
         first, *rest = text.split(" ")
-        return self.piece[first] + b"".join(map(self.piece.__getitem__, [" " + x for x in rest]))
+        return self.first[first] + b"".join(map(self.spaced.__getitem__, rest))
+
+
+def uncuttable(text: str) -> bool:
+    return "  " in text or text.endswith(" ")
 
 
 def _byte_letters() -> dict[int, int]:
