@@ -46,6 +46,19 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.hosts import judged
+
+    found = judged(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.classifier import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,5 +69,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_best_fit_packing": op2_best_fit_packing, "op3_token_files": op3_token_files, "op5_substring_dedup": op5_substring_dedup, "op10_byte_bpe": op10_byte_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_best_fit_packing": op2_best_fit_packing, "op3_token_files": op3_token_files, "op5_substring_dedup": op5_substring_dedup, "op7_host_rules": op7_host_rules, "op9_rule_ensemble": op9_rule_ensemble, "op10_byte_bpe": op10_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
