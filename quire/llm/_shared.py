@@ -34,6 +34,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a few numbers that may be sent to every executor.
+SMALL = 500_000
+
+
+def within(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """df, marked for broadcast if it has no more than `rows` rows; else as it is, for a join by shuffle. df: a cut one, as it is counted."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 class Store:
     """A new folder of binary files below the shared one. It is pickled to the executors; put() replaces a file at once, so a repeated task is harmless."""
 
@@ -102,7 +111,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def picked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """`k`, `t`: key and text alone, a null text as an empty one; ready for Python functions on executors."""
+def picked(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """`k`, `t`: key and text alone, a null text as an empty one, and `more`; ready for Python functions on executors."""
     ship(docs.sparkSession)
-    return docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    return docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), *more)
+
+
+def rest_of(keep: tuple[str, ...], *but: str) -> Column:
+    """The columns `keep` as one column, `rest`, without key and text."""
+    return F.struct(F.lit(0).alias("_"), *(F.col(c) for c in keep if c not in but)).alias("rest")

@@ -25,9 +25,9 @@ SAMPLE = 20_000
 TREES, DEPTH, BINS, MIN_LEAF, PENALTY = 24, 3, 32, 20, 0.0005
 
 
-def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`k` and the statistics of every row, as doubles."""
-    rows = picked(docs, key, text).withColumn("words", words_of(F.col("t"))).withColumn("lines", F.split("t", "\n"))
+def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """`k` and the statistics of every row, as doubles; and its columns `keep`, which may not have a statistic's name."""
+    rows = picked(docs, key, text, *(F.col(c) for c in keep)).withColumn("words", words_of(F.col("t"))).withColumn("lines", F.split("t", "\n"))
     words, n = F.col("words"), F.greatest(F.size("words"), F.lit(1))
     chars = F.greatest(F.length("t"), F.lit(1))
     share = lambda drop: (F.length("t") - F.length(F.translate("t", drop, ""))) / chars
@@ -45,6 +45,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         share("!?").alias("calls"),
         share("|").alias("bars"),
         share("#*$%&<>@^~=_+\\/{}[]").alias("symbols"),
+        *keep,
     )
 
 
@@ -167,6 +168,12 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(rows, names)
 
 
+def kept(docs: DataFrame, model: Ensemble, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns `keep` of the rows that the model predicts to be good."""
+    rows = statistics(docs, key, text, keep).withColumn("_row", F.monotonically_increasing_id())  # keeps Spark from working the statistics out again for each rule of the filter
+    return rows.filter((model.score() >= 0.5) & (F.col("_row") >= 0)).select(*keep)
+
+
 def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """`key`, `held_out`, `score` (0 to 1, higher: good likelier), `predicted` (1 if the score is 0.5 or more) of every row."""
     model = learn(docs, labels, key, text, label, sample)

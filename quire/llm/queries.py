@@ -12,7 +12,7 @@ from quire.llm._shared import table
 WORD_VOCABULARY, BYTE_VOCABULARY, RANK_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -28,17 +28,35 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), _vocabulary(WORD_VOCABULARY))
+    return pack(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.arrowfile import encode_to_files, read_documents
 
     docs = table(spark, sf_dir, "documents")
-    read = read_documents(docs, *encode_to_files(docs, _vocabulary(BYTE_VOCABULARY)))
+    read = read_documents(docs, *encode_to_files(docs, vocabulary(BYTE_VOCABULARY)))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.topk import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
+"""
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.substring import without_repeats
 
@@ -53,6 +71,13 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.lines import without_fuzzy_lines
+
+    kept = without_fuzzy_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.classifier import scored
 
@@ -64,10 +89,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from quire.llm.bpe import decode, encode
 
-    vocabulary = _vocabulary(RANK_VOCABULARY), public_tokenizers.PATTERN
-    both = decode(encode(table(spark, sf_dir, "documents"), *vocabulary), *vocabulary)
+    ranks = vocabulary(RANK_VOCABULARY), public_tokenizers.PATTERN
+    both = decode(encode(table(spark, sf_dir, "documents"), *ranks), *ranks)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_best_fit_packing": op2_best_fit_packing, "op3_token_files": op3_token_files, "op5_substring_dedup": op5_substring_dedup, "op7_host_rules": op7_host_rules, "op9_rule_ensemble": op9_rule_ensemble, "op10_byte_bpe": op10_byte_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_best_fit_packing": op2_best_fit_packing, "op3_token_files": op3_token_files, "op4_exact_topk": op4_exact_topk, "op5_substring_dedup": op5_substring_dedup, "op7_host_rules": op7_host_rules, "op8_fuzzy_lines": op8_fuzzy_lines, "op9_rule_ensemble": op9_rule_ensemble, "op10_byte_bpe": op10_byte_bpe}
+ORACLE_SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._shared import cut, picked
+from quire.llm._shared import cut, picked, within
 from quire.llm.graph import components
 
 BITS, RADIUS, WORDS, SEED = 64, 4, 4, 42
@@ -195,7 +195,7 @@ def keyed(reps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
 def dealt(rows: DataFrame, tile: int = TILE) -> DataFrame:
     """rows with `key` and `fp`: adds `bucket` (a number that rows to be compared share), `tile` and `whole` (false where only rows of
     different tiles are to be compared). Keys with more than `tile` rows are split; every two of their tiles share a bucket."""
-    large = cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile))
+    large = within(cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile)))
     tiles = F.coalesce(F.ceil(F.col("n") / tile).cast("int"), F.lit(1))
     split = rows.join(large, "key", "left").withColumn("tiles", tiles).drop("n").withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))

@@ -25,8 +25,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quire.llm._shared import Store, cut, picked
+from quire.llm._shared import Store, cut, picked, rest_of
 from quire.llm.tokens import Memory
 
 WINDOW, LEVELS = 20, 2
@@ -78,12 +79,12 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
 class Chunk:
     """Whole documents of a partition, by key, and their windows level by level."""
 
-    def __init__(self, keys: pa.Array, texts: list[str], window: int, levels: int):
+    def __init__(self, keys: pa.Array, texts: list[str], rest: list, window: int, levels: int):
         import xxhash
 
         number = np.array([np.iinfo(np.int64).min if k is None else k for k in keys.to_pylist()], np.int64)
         self.order = np.argsort(number, kind="stable")
-        self.keys, self.texts = keys, texts
+        self.keys, self.texts, self.rest = keys, texts, rest
         sign = xxhash.xxh64(number.tobytes())
         for t in texts:
             sign.update(xxhash.xxh64_digest(t.encode()))
@@ -144,17 +145,19 @@ class Chunk:
 
 
 def chunks_of(batches: Iterator[pa.RecordBatch], window: int, levels: int) -> Iterator[Chunk]:
-    keys, texts, size = [], [], 0
+    keys, texts, rest, size = [], [], [], 0
     for b in batches:
-        for k, t in zip(b.column(0), b.column(1), strict=True):
+        for i, (k, t) in enumerate(zip(b.column(0), b.column(1), strict=True)):
             keys.append(k.as_py())
             texts.append(t.as_py())
             size += len(texts[-1])
+            if b.num_columns > 2:
+                rest.append(b.column(2)[i].as_py())
             if size >= CHUNK:
-                yield Chunk(pa.array(keys, b.column(0).type), texts, window, levels)
-                keys, texts, size = [], [], 0
+                yield Chunk(pa.array(keys, pa.int64()), texts, rest, window, levels)
+                keys, texts, rest, size = [], [], [], 0
     if texts:
-        yield Chunk(pa.array(keys, pa.int64()), texts, window, levels)
+        yield Chunk(pa.array(keys, pa.int64()), texts, rest, window, levels)
 
 
 def _bits(store: Store, name: str, n: int) -> np.ndarray:
@@ -254,11 +257,11 @@ def _rereadable(docs: DataFrame) -> bool:
     return all(n in ("Project", "Filter") or n.startswith(("LogicalRelation", "Relation")) for n in names)
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS, key: str = "doc_id", text: str = "text", spacing: str | None = None) -> DataFrame:
-    """`key`, n_words, n_removed, `text`: of each row, without the words that are covered by a repeated window's later occurrences.
+def without_repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS, key: str = "doc_id", text: str = "text", spacing: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`key`, n_words, n_removed, `text` (and the columns `keep`, which may not have one of these names): of each row, without the words that are covered by a repeated window's later occurrences.
     spacing: what joins the kept words; None keeps each word's own white space before it, and untouched texts as they are."""
     assert levels >= 1 and window % (1 << levels - 1) == 0
-    rows = picked(docs, key, text)
+    rows = picked(docs, key, text, rest_of(keep, key, text))
     kind = rows.schema["k"].dataType.simpleString()
     rows = rows.withColumn("k", F.col("k").cast("long"))
     if not _rereadable(rows):
@@ -287,11 +290,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS,
             if asked:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*asked, strict=True)], names=["owner", "chunk", "hashes", "more", "docs", "places"])
 
+    read = rows.select("k", "t")
     for level in range(levels - 1):
-        _answered(rows.mapInArrow(ask(level), "owner long, chunk string, hashes binary, twice binary"), _repeated, store, str(level))
+        _answered(read.mapInArrow(ask(level), "owner long, chunk string, hashes binary, twice binary"), _repeated, store, str(level))
     if levels == 1:
         raise ValueError("the last level follows one that it can double")
-    _answered(rows.mapInArrow(ask_last, "owner long, chunk string, hashes binary, more binary, docs binary, places binary"), _later, store, "last")
+    _answered(read.mapInArrow(ask_last, "owner long, chunk string, hashes binary, more binary, docs binary, places binary"), _later, store, "last")
+
+    pa_rest = to_arrow_type(rows.schema["rest"].dataType)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks_of(batches, window, levels):
@@ -301,10 +307,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS,
             total = np.r_[0, np.cumsum(gone)]
             n_words, n_removed = chunk.ends - chunk.starts, total[chunk.ends] - total[chunk.starts]
             texts = [cleaned(chunk.texts[i], gone[a:b] if r else None, spacing) for i, a, b, r in zip(chunk.order, chunk.starts, chunk.ends, n_removed, strict=True)]
-            yield pa.RecordBatch.from_arrays([chunk.keys.take(pa.array(chunk.order)), pa.array(n_words), pa.array(n_removed), pa.array(texts, pa.string())], names=["k", "n_words", "n_removed", "t"])
+            yield pa.RecordBatch.from_arrays([chunk.keys.take(pa.array(chunk.order)), pa.array(n_words), pa.array(n_removed), pa.array(texts, pa.string()), pa.array([chunk.rest[i] for i in chunk.order], pa_rest)], names=["k", "n_words", "n_removed", "t", "rest"])
 
-    out = rows.mapInArrow(kept, "k long, n_words long, n_removed long, t string")
-    return out.select(F.col("k").cast(kind).alias(key), "n_words", "n_removed", F.col("t").alias(text))
+    out = rows.mapInArrow(kept, f"k long, n_words long, n_removed long, t string, rest {rows.schema['rest'].dataType.simpleString()}")
+    return out.select(F.col("k").cast(kind).alias(key), "n_words", "n_removed", F.col("t").alias(text), *(F.col(f"rest.{c}") for c in keep if c not in (key, text)))
 
 
 def cleaned(text: str, gone: np.ndarray | None, spacing: str | None) -> str:
