@@ -64,6 +64,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.licenses import matches
+
+    return matches(table(spark, sf_dir, "documents"))
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.hosts import judged
 
@@ -94,5 +100,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_best_fit_packing": op2_best_fit_packing, "op3_token_files": op3_token_files, "op4_exact_topk": op4_exact_topk, "op5_substring_dedup": op5_substring_dedup, "op7_host_rules": op7_host_rules, "op8_fuzzy_lines": op8_fuzzy_lines, "op9_rule_ensemble": op9_rule_ensemble, "op10_byte_bpe": op10_byte_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_best_fit_packing": op2_best_fit_packing, "op3_token_files": op3_token_files, "op4_exact_topk": op4_exact_topk, "op5_substring_dedup": op5_substring_dedup, "op6_license_scan": op6_license_scan, "op7_host_rules": op7_host_rules, "op8_fuzzy_lines": op8_fuzzy_lines, "op9_rule_ensemble": op9_rule_ensemble, "op10_byte_bpe": op10_byte_bpe}
 ORACLE_SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL}
