@@ -121,7 +121,7 @@ def option_text(value: Column) -> Column:
 
 
 def stem(text: Column) -> Column:
-    return F.trim(F.get(F.split(F.regexp_replace(text, OPTION, "\u0001"), "\u0001"), F.lit(0)))
+    return F.regexp_replace(F.get(F.split(F.regexp_replace(text, OPTION, "\u0001"), "\u0001"), F.lit(0)), r"^\s+|\s+$", "")
 
 
 def question_type(text: Column, n_options: Column) -> Column:
@@ -218,7 +218,7 @@ def sections(markdown: DataFrame, key: str, text: str) -> DataFrame:
     part = markdown.select(key, F.posexplode(F.split(text, r"(?m)^# ")).alias("s", "part")).filter("s > 0")
     question = part.select(key, "s", F.trim(F.regexp_extract("part", r"^([^\n]*)", 1)).alias("section"), F.posexplode(F.split("part", r"(?m)^## ")).alias("q", "body")).filter("q > 0")
     marks = F.coalesce(F.nullif(F.regexp_extract("body", r"(?i)[\[(](\d+)(?:\s*marks?)?[\])]", 1), F.lit("")).try_cast("int"), F.lit(1))
-    return question.select(key, "section", F.col("q").alias("position"), X.digits(F.regexp_extract("body", r"^([^\n]*)", 1), 0).alias("question_number"), marks.alias("marks"), F.trim("body").alias("body"))
+    return question.select(key, "section", F.col("q").alias("position"), F.coalesce(F.nullif(F.regexp_extract("body", r"^[^\n\d]*(\d+)", 1), F.lit("")).try_cast("int"), F.lit(0)).alias("question_number"), marks.alias("marks"), F.trim("body").alias("body"))
 
 
 def alternatives(body: Column) -> Column:
