@@ -2,8 +2,9 @@
 
 Texts of up to `chunk` characters are encoded where they lie. A longer one is cut into chunks that overlap; chunks are
 pre-tokenised in parallel, neighbours are stitched at the first place of their overlap where both have a pre-token
-boundary (from a common boundary on, a pattern without look-behind matches alike), and the stitched pieces are encoded in
-parallel and put together again. Where no boundary is common, two chunks become one: exact, only less parallel.
+boundary (from a common boundary on, a pattern without look-behind matches alike) that no white space precedes (where a
+pattern may look ahead, and a piece's end would show it nothing), and the stitched pieces are encoded in parallel and put
+together again. Where no boundary is common, two chunks become one: exact, only less parallel.
 
 Null and empty texts have no ids. Repeated rows and repeated keys give a row each. Only `key` and `text` are read, so
 further columns, whatever their names, neither matter nor come back. An empty table gives an empty result.
@@ -112,7 +113,8 @@ def stitch(encoder: RankEncoder, chunks: list[tuple[int, str, list[int], list[in
     """The pieces of one text, from its chunks in order: (at, text, head, tail)."""
     pieces, (at, text, _, tail) = [], chunks[0]
     for start, more, head, its_tail in chunks[1:]:
-        meet = next((p for p in head if p in set(tail)), None)
+        ends = set(tail)
+        meet = next((p for p in head if p in ends and not text[p - at - 1].isspace()), None)
         if meet is None:  # nothing in common: the two become one, and its boundaries are looked for again
             text += more[at + len(text) - start :]
             tail = [at + e for e in encoder.ends(text) if start + chunk <= at + e < at + len(text)]

@@ -161,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     given = labels.select(F.col(key).alias("k"), F.col(label).cast("double").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("k")))
     chosen = given.orderBy(F.xxhash64("k"), "k", "label").limit(sample)
     # The sample has at most `sample` rows of two numbers.
-    known = docs.withColumnRenamed(key, "_key").join(F.broadcast(chosen), F.col("_key") == F.col("k"), "left_semi").withColumnRenamed("_key", key)
+    known = docs.join(F.broadcast(chosen), docs[key] == chosen["k"], "left_semi")
     measured = statistics(known, key, text)
     names = [c for c in measured.columns if c != "k"]
     rows = measured.join(F.broadcast(chosen), "k").orderBy(F.xxhash64("k", *names), "label").limit(sample).collect()
