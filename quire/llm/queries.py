@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm._shared import table
+from quire.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 WORD_VOCABULARY, BYTE_VOCABULARY, RANK_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
 
@@ -45,18 +46,6 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-OP4_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
-), p AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
-)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
-"""
-
-
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.substring import without_repeats
 
@@ -101,4 +90,3 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_best_fit_packing": op2_best_fit_packing, "op3_token_files": op3_token_files, "op4_exact_topk": op4_exact_topk, "op5_substring_dedup": op5_substring_dedup, "op6_license_scan": op6_license_scan, "op7_host_rules": op7_host_rules, "op8_fuzzy_lines": op8_fuzzy_lines, "op9_rule_ensemble": op9_rule_ensemble, "op10_byte_bpe": op10_byte_bpe}
-ORACLE_SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL}
