@@ -137,3 +137,24 @@ def test_streaming_windows_and_sink(spark, tmp_path):
     q = source.writeStream.foreachBatch(streaming.upsert_into(str(tmp_path / "out"), ["user_id"], "event_id")).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     q.awaitTermination()
     assert rows(streaming.current(spark, str(tmp_path / "out"), ["user_id"], "event_id").select("user_id", "event_id")) == [(0, 6), (1, 7)]
+
+
+def test_papers(spark):
+    from quire.operators import papers as P
+
+    o = [("A", "x"), ("B", "y")]
+    draft = spark.createDataFrame([("p", [("S", [("1", 2, "stem", [("a", "part", o, [("a", "one", []), ("b", "two", o)])]), ("2", 1, "whole", [("", " ", o, [])]), ("3", 1, "bare", [])])])], P.DRAFT)
+    assert rows(P.draft_questions(draft).select("question_number", "raw_text")) == [("1_a", "one"), ("1_b", "two"), ("2", "whole"), ("3", "bare")]
+    blocks = spark.createDataFrame([("p", 1, "b", 90.0, 11.0), ("p", 1, "1. a", 10.0, 13.0), ("p", 1, "Section A", 0.0, 1.0), ("p", 2, "c", 0.0, 0.0)], "paper_id string, page_num int, text string, x0 double, y0 double")
+    assert P.markdown(blocks).first().markdown == "<!-- page 1 -->\n# Section A\n## 1. a\nb\n\n<!-- page 2 -->\nc"
+    spans = spark.createDataFrame([("l", 0, 10.0, 0.0, 10.0, 20.0), ("l", 1, 6.0, 11.0, 14.0, 15.0), ("l", 2, 10.0, 15.0, 20.0, 20.0)], "line string, n int, size double, x0 double, x1 double, y1 double")
+    assert [r.raised for r in P.superscripts(spans, ["line"], "n").orderBy("n").collect()] == [False, True, False]
+    chunks = spark.createDataFrame([("p", 1, "q", []), ("p", 2, "", ["a", "b"]), ("p", 3, "r", ["c"])], "paper string, n int, text string, options array<string>")
+    assert rows(P.attached_orphans(chunks, "paper", "n", F.col("text") == "")) == [("p", 1, "q", ["a", "b"]), ("p", 3, "r", ["c"])]
+    parts = spark.createDataFrame([(["short", "x" * 90 + "1", "x" * 90 + "2", "a long enough text\nPage 3 of 4"],)], "p array<string>")
+    assert parts.select(P.kept_parts(F.col("p"))).first()[0] == ["x" * 90 + "1", "a long enough text"]
+    lines = spark.createDataFrame([(["Assertion: a", "Reason: b", "(a) x"],)], "p array<string>")
+    assert lines.select(P.folded_reasons(F.col("p"))).first()[0] == ["Assertion: a\nReason: b", "(a) x"]
+    q = spark.createDataFrame([("what is the long question\nSection B more", ["a", "b"], ["x"])], "raw_text string, options array<string>, subparts array<string>")
+    r = P.finalised(q).first()
+    assert (r.raw_text, r.subparts, r.is_valid) == ("what is the long question", [], True)
