@@ -32,7 +32,7 @@ from quire.llm.tokens import Memory
 
 WINDOW, LEVELS = 20, 2
 #: Bytes of text in a chunk; bytes of a hash that the levels before the last send (a chance match only costs the next level an entry).
-CHUNK, SENT = 8 << 20, 6
+CHUNK, SENT = 4 << 20, 6
 _SPACED = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+")
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -145,6 +145,8 @@ class Chunk:
 
 
 def chunks_of(batches: Iterator[pa.RecordBatch], window: int, levels: int) -> Iterator[Chunk]:
+    global _words
+    _words = None  # a worker doesn't carry the words of one task to the next
     keys, texts, rest, size = [], [], [], 0
     for b in batches:
         for i, (k, t) in enumerate(zip(b.column(0), b.column(1), strict=True)):
@@ -158,6 +160,7 @@ def chunks_of(batches: Iterator[pa.RecordBatch], window: int, levels: int) -> It
                 keys, texts, rest, size = [], [], [], 0
     if texts:
         yield Chunk(pa.array(keys, pa.int64()), texts, rest, window, levels)
+    _words = None
 
 
 def _bits(store: Store, name: str, n: int) -> np.ndarray:
