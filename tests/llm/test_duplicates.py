@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -126,3 +127,52 @@ def test_fuzzy_lines(docs, texts, none):
     for k, t in texts:
         assert got[k] == "\n".join(x for n, x in enumerate((t or "").split("\n")) if (order(k), n) not in gone)
     assert lines.without_fuzzy_lines(none).count() == 0
+
+
+def lines_left(rows, similarity=0.8):
+    """What stays of the rows' texts, by edit similarity over all pairs of lines."""
+    first, seen = {}, []
+    order = lambda k: -1 if k is None else k
+    for k, t in sorted(rows, key=lambda x: order(x[0])):
+        for n, x in enumerate(lines.normal_lines(t or "")):
+            if len(x.split()) >= 5:
+                first.setdefault(x, (order(k), n))
+                seen.append((order(k), n, x))
+    known = [*first]
+    links = {(i, j) for i in range(len(known)) for j in range(i) if 5 * abs(len(known[i]) - len(known[j])) <= max(len(known[i]), len(known[j])) and 5 * lines.distance(known[i], known[j]) <= max(len(known[i]), len(known[j]))}
+    label = roots(len(known), lambda i, j: i == j or (max(i, j), min(i, j)) in links)
+    least = {}
+    for x, i in zip(known, label):
+        least[i] = min(least.get(i, first[x]), first[x])
+    keeps = {x: least[i] for x, i in zip(known, label)}
+    gone = {(k, n) for k, n, x in seen if keeps[x] != (k, n)}
+    return {k: "\n".join(x for n, x in enumerate((t or "").split("\n")) if (order(k), n) not in gone) for k, t in rows}
+
+
+def test_edit_distance():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ("".join(rng.choices("abc", k=rng.randint(1, 90))) for _ in "ab")
+        assert lines.distance(a, b) == edit(a, b)
+
+
+def test_fuzzy_lines_by_edit_similarity_alone(spark, docs, texts):
+    assert {r.doc_id: r.text for r in lines.without_fuzzy_lines(docs).collect()} == lines_left(texts)
+    # one or more words replaced, down to a similarity of 0.8
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(2000)]
+    rows = []
+    for i in range(100):
+        w = rng.choices(vocabulary, k=rng.randint(10, 50))
+        rows.append((2 * i, " ".join(w)))
+        for _ in range(len(w)):
+            v = [*w]
+            v[rng.randrange(len(w))] = rng.choice(vocabulary)
+            if 5 * lines.distance(" ".join(v), rows[2 * i][1]) > max(len(" ".join(v)), len(rows[2 * i][1])):
+                break
+            w = v
+        rows.append((2 * i + 1, " ".join(w)))
+    want = lines_left(rows)
+    got = {r.doc_id: r.text for r in lines.without_fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(not x for x in want.values()) >= 100
+    assert {k for k in got if not got[k]} == {k for k in want if not want[k]}
