@@ -202,7 +202,7 @@ def _owner(values: np.ndarray, bits: int, owners: int) -> np.ndarray:
 
 def _spans(owner: np.ndarray) -> Iterator[tuple[int, slice]]:
     at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]][: len(owner)])
-    for a, b in zip(at, np.r_[at[1:], len(owner)], strict=True):
+    for a, b in zip(at, np.r_[at[1:], len(owner)][: len(at)], strict=True):
         yield int(owner[a]), slice(a, b)
 
 
