@@ -176,3 +176,19 @@ def test_fuzzy_lines_by_edit_similarity_alone(spark, docs, texts):
     got = {r.doc_id: r.text for r in lines.without_fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(not x for x in want.values()) >= 100
     assert {k for k in got if not got[k]} == {k for k in want if not want[k]}
+
+
+def test_families_of_lines_in_large_values(spark, monkeypatch):
+    # all share long words, so that they have common values; only lines with the same short words are similar
+    rng = random.Random(6)
+    monkeypatch.setattr(lines, "TILE", 50, raising=False)
+    core = "the registered correspondence address remains unchanged throughout"
+    endings = [[rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 3) for _ in range(14)] for _ in range(3)]
+    rows = []
+    for i in range(150):
+        own = [*endings[i % 3]]
+        own[rng.randrange(14)] = rng.choice("0123456789") * rng.randint(1, 3)
+        rows.append((i, f"{core} {' '.join(own)}"))
+    want = lines_left(rows)
+    assert sum(1 for x in want.values() if x) == 3
+    assert {r.doc_id: r.text for r in lines.without_fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
