@@ -192,3 +192,9 @@ def test_families_of_lines_in_large_values(spark, monkeypatch):
     want = lines_left(rows)
     assert sum(1 for x in want.values() if x) == 3
     assert {r.doc_id: r.text for r in lines.without_fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_lines_of_one_fingerprint_are_split_into_tiles(spark):
+    rows = [(7, i, 12345, 20_000) for i in range(20_000)]
+    most = lines.spread(spark.createDataFrame(rows, "key long, a long, b long, n long"), 512).groupBy("bucket").count().agg({"count": "max"}).first()[0]
+    assert most < 3 * 512
