@@ -1,7 +1,7 @@
 """Exact top-k by inner product over a pivot-distance index.
 
 Components become whole numbers, floor(scale * x). A vector is lifted by one coordinate so that all have the largest
-norm R: then |q' - x'|^2 = |q|^2 + R^2 - 2 q.x, and the nearest lifted vectors are those of the highest score. Each is keyed by its
+norm R, and a query by a 0: then |q' - x'|^2 = |q|^2 + R^2 - 2 q.x, and the nearest lifted vectors are those of the highest score. Each is keyed by its
 nearest pivot and its distance r to it; sorted by that key, the vectors of a pivot are cut into annuli, and some annuli make a
 segment. By the triangle inequality no vector of an annulus [a, b] around p is nearer to q' than the distance of |q' - p|
 from [a, b], so an annulus is passed over once that bound leaves no score as high as the query's k-th so far. Each query
@@ -58,6 +58,11 @@ def lifted(x: np.ndarray, top: float) -> np.ndarray:
     return np.c_[x, np.sqrt(np.maximum(top - (x**2).sum(1), 0))]
 
 
+def asking(q: np.ndarray) -> np.ndarray:
+    """Queries beside lifted vectors."""
+    return np.c_[q, np.zeros(len(q))]
+
+
 def _matrix(column: pa.Array, dim: int, scale: int) -> np.ndarray:
     flat = np.floor(np.asarray(column.flatten().to_numpy(zero_copy_only=False), float) * scale)
     sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(int)
@@ -143,7 +148,7 @@ def search(vectors: DataFrame, queries: Column, k: int = K, key: str = "vec_id",
 
     def bound(x: np.ndarray) -> np.ndarray:
         """Of each query, the highest score that each segment's bound leaves."""
-        far = distances(lifted(x, top), points)[:, cells]
+        far = distances(asking(x), points)[:, cells]
         gap = np.maximum(np.maximum(low[None, :] - far, far - high[None, :]), 0)
         return ((x**2).sum(1)[:, None] + top - gap**2) / 2 + slack
 
@@ -166,7 +171,7 @@ def search(vectors: DataFrame, queries: Column, k: int = K, key: str = "vec_id",
                 segment, qid, q, least, cell, r, ids, x = (c[row].as_py() for c in b.columns)
                 qid, q, least = np.frombuffer(qid, "<i8"), _rows(q, dim), np.frombuffer(least, "<f8")
                 r, ids, x = np.frombuffer(r, "<f8"), np.frombuffer(ids, "<i8"), _rows(x, dim)
-                scores, found = expanded(q, qid, least, distances(lifted(q, top), points[cell : cell + 1])[:, 0], r, ids, x, k, top, slack)
+                scores, found = expanded(q, qid, least, distances(asking(q), points[cell : cell + 1])[:, 0], r, ids, x, k, top, slack)
                 real = np.isfinite(scores)
                 yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array([v.tobytes() for v in q.astype("<i4")], pa.binary()), pa.array(np.full(len(qid), segment)), pa.array(np.maximum(np.where(real.sum(1) == k, scores[:, -1], -np.inf), least) if k else least), pa.array([i[m].tolist() for i, m in zip(found, real, strict=True)], pa.list_(pa.int64())), pa.array([s[m].astype(np.int64).tolist() for s, m in zip(scores, real, strict=True)], pa.list_(pa.int64()))], names=["id", "x", "segment", "least", "found", "scores"])
 

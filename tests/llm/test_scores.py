@@ -26,6 +26,21 @@ def test_topk_by_brute_force(spark):
     assert topk.search(v.filter("vec_id in (0, 1)"), F.lit(True)).count() == 2
 
 
+def test_topk_of_widely_differing_norms(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(10_000, 4)) * 10 ** rng.uniform(-1, 0, (10_000, 1))
+    x[7_000:] = [50, 0, 0, 0] + 0.1 * rng.normal(size=(3_000, 4))  # short queries' best are far from them on the sphere
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.search(v, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    e = np.floor(256 * x)
+    for q in range(0, 10_000, 50):
+        s = (e @ e[q]).astype(int)
+        order = [i for i in np.lexsort((np.arange(len(s)), -s))[:6] if i != q][:5]
+        assert got[q] == {n + 1: (int(i), int(s[i])) for n, i in enumerate(order)}
+
+
 def test_annuli_stop_early():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 2)) * 1000
