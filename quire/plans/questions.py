@@ -64,7 +64,7 @@ def slugify(t: Tables) -> DataFrame:
 
 @query()
 def option_extract(t: Tables) -> DataFrame:
-    asked = F.concat(F.substring("text", 1, 40), F.lit("\n(a) "), F.col("role"), F.lit(" (b) two; (c) three\n(d) four (a) again"))
+    asked = F.concat("text", F.lit("\n(a) "), F.col("role"), F.lit(" (b) two; (c) three\n(d) four (a) again"))
     return t.conversations.select("conv_id", "turn", Q.stem(asked).alias("stem"), F.to_json(Q.options(asked)).alias("options"))
 
 

@@ -1,3 +1,4 @@
+import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -158,3 +159,12 @@ def test_papers(spark):
     q = spark.createDataFrame([("what is the long question\nSection B more", ["a", "b"], ["x"])], "raw_text string, options array<string>, subparts array<string>")
     r = P.finalised(q).first()
     assert (r.raw_text, r.subparts, r.is_valid) == ("what is the long question", [], True)
+
+
+def test_option_extract_reads_whole_turns(spark, tmp_path):
+    from quire.plans import catalogue
+
+    text = "Which of these numbers is the largest prime below thirty, if any?\n(a) 23 (b) 29 (c) 27\n(d) 31"
+    spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", "short")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: (r.stem, [o["text"] for o in json.loads(r.options)]) for r in catalogue.QUERIES["option_extract"](spark, str(tmp_path)).collect()}
+    assert got == {0: (text.split("\n")[0], ["23", "29", "27", "31"]), 1: ("short", ["assistant", "two", "three", "four"])}
