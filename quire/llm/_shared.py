@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +18,14 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests in local mode)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local one is used in local mode alone; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "quire-checkpoints")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -117,6 +120,40 @@ def picked(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
     return docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), *more)
 
 
+def rereadable(docs: DataFrame) -> bool:
+    """Whether a table comes straight from files, so that reading it again gives the same rows in the same order."""
+    names, todo = set(), [docs._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        names.add(node.nodeName())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return all(n in ("Project", "Filter") or n.startswith(("LogicalRelation", "Relation")) for n in names)
+
+
+def placed(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """`k` (a long), `t`, `spot` (a number of each row's own, also of repeated rows) and `more`, to be read several times with the same result.
+    Parquet files are read again, by the same splits (spark.sql.files.minPartitionNum is set if it wasn't, as the default follows the
+    executors that are alive); anything else is written to the shared folder once."""
+    conf = ship(docs.sparkSession).conf
+    mine = F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")
+    if rereadable(docs):
+        try:
+            rows = docs.select(*mine, F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("spot"), *more)
+        except AnalysisException:  # other formats don't number their rows
+            pass
+        else:
+            if conf.get("spark.sql.files.minPartitionNum", None) is None:
+                conf.set("spark.sql.files.minPartitionNum", str(docs.sparkSession.sparkContext.defaultParallelism))
+            return rows
+    return cut(docs.select(*mine, F.monotonically_increasing_id().alias("spot"), *more))
+
+
+def distinct_names(*names: str) -> None:
+    """Raises if a column that is to be kept has the name of one that is made."""
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns to keep have names of columns that are made: {sorted(n for n in set(names) if names.count(n) > 1)}")
+
+
 def rest_of(keep: tuple[str, ...], *but: str) -> Column:
     """The columns `keep` as one column, `rest`, without key and text."""
     return F.struct(F.lit(0).alias("_"), *(F.col(c) for c in keep if c not in but)).alias("rest")
