@@ -8,10 +8,13 @@ folder and applies when the next level reads the texts again. So a window that a
 entry a chunk. The last level compares 96 bits and keeps, of each window, the occurrence with the smallest (key, start); the
 words that any other occurrence covers are removed. Windows are judged on the input, not on what is left.
 
-The input is read once per level, in the same order: a table in files is, anything else is written to the shared folder first.
+There are so many owners that each has some megabytes of hashes, however large the input is. A window that all chunks hold is
+one entry for each of them. The input is read once per level, in the same order: Parquet files are, anything else is written to the
+shared folder first. A chunk is known by what it holds and by where its rows are (file and row number), so that repeated rows and
+files of the same content have chunks of their own.
 Null, empty and short texts have no window and stay as they are. Rows with equal keys count as one document's: of two
-occurrences with equal (key, start) neither is the earlier one. Rows with a null key come before all others. Only `key`
-(whole numbers) and `text` are read. An empty table gives an empty result.
+occurrences with equal (key, start), as repeated rows have, neither is the earlier one. Rows with a null key come before all others.
+Only `key` (whole numbers), `text` and the columns `keep` are read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quire.llm._shared import Store, cut, picked, rest_of
+from quire.llm._shared import Store, distinct_names, placed, rest_of
 from quire.llm.tokens import Memory
 
 WINDOW, LEVELS = 20, 2
 #: Bytes of text in a chunk; bytes of a hash that the levels before the last send (a chance match only costs the next level an entry).
 CHUNK, SENT = 4 << 20, 6
+#: Bytes of the input, as Spark estimates them, for each owner of hashes.
+OWNED = 8 << 20
 _SPACED = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+")
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -79,13 +84,13 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
 class Chunk:
     """Whole documents of a partition, by key, and their windows level by level."""
 
-    def __init__(self, keys: pa.Array, texts: list[str], rest: list, window: int, levels: int):
+    def __init__(self, keys: pa.Array, texts: list[str], spots: list[int], rest: list, window: int, levels: int):
         import xxhash
 
         number = np.array([np.iinfo(np.int64).min if k is None else k for k in keys.to_pylist()], np.int64)
         self.order = np.argsort(number, kind="stable")
         self.keys, self.texts, self.rest = keys, texts, rest
-        sign = xxhash.xxh64(number.tobytes())
+        sign = xxhash.xxh64(np.array(spots, "<i8").tobytes() + number.tobytes())
         for t in texts:
             sign.update(xxhash.xxh64_digest(t.encode()))
         self.name = f"{sign.intdigest():016x}"
@@ -147,19 +152,20 @@ class Chunk:
 def chunks_of(batches: Iterator[pa.RecordBatch], window: int, levels: int) -> Iterator[Chunk]:
     global _words
     _words = None  # a worker doesn't carry the words of one task to the next
-    keys, texts, rest, size = [], [], [], 0
+    keys, texts, spots, rest, size = [], [], [], [], 0
     for b in batches:
-        for i, (k, t) in enumerate(zip(b.column(0), b.column(1), strict=True)):
+        for i, (k, t, spot) in enumerate(zip(*b.columns[:3], strict=True)):
             keys.append(k.as_py())
             texts.append(t.as_py())
+            spots.append(spot.as_py())
             size += len(texts[-1])
-            if b.num_columns > 2:
-                rest.append(b.column(2)[i].as_py())
+            if b.num_columns > 3:
+                rest.append(b.column(3)[i].as_py())
             if size >= CHUNK:
-                yield Chunk(pa.array(keys, pa.int64()), texts, rest, window, levels)
-                keys, texts, rest, size = [], [], [], 0
+                yield Chunk(pa.array(keys, pa.int64()), texts, spots, rest, window, levels)
+                keys, texts, spots, rest, size = [], [], [], [], 0
     if texts:
-        yield Chunk(pa.array(keys, pa.int64()), texts, rest, window, levels)
+        yield Chunk(pa.array(keys, pa.int64()), texts, spots, rest, window, levels)
     _words = None
 
 
@@ -250,27 +256,17 @@ def _later(pdf: pd.DataFrame) -> pd.DataFrame:
     return _told(pdf, np.split(later, np.cumsum(sizes)[:-1]))
 
 
-def _rereadable(docs: DataFrame) -> bool:
-    plan = docs._jdf.queryExecution().optimizedPlan()
-    names, todo = set(), [plan]
-    while todo:
-        node = todo.pop()
-        names.add(node.nodeName())
-        todo += [node.children().apply(i) for i in range(node.children().size())]
-    return all(n in ("Project", "Filter") or n.startswith(("LogicalRelation", "Relation")) for n in names)
-
-
 def without_repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS, key: str = "doc_id", text: str = "text", spacing: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """`key`, n_words, n_removed, `text` (and the columns `keep`, which may not have one of these names): of each row, without the words that are covered by a repeated window's later occurrences.
     spacing: what joins the kept words; None keeps each word's own white space before it, and untouched texts as they are."""
     assert levels >= 1 and window % (1 << levels - 1) == 0
-    rows = picked(docs, key, text, rest_of(keep, key, text))
-    kind = rows.schema["k"].dataType.simpleString()
-    rows = rows.withColumn("k", F.col("k").cast("long"))
-    if not _rereadable(rows):
-        rows = cut(rows)
+    distinct_names(key, text, "n_words", "n_removed", *(c for c in keep if c not in (key, text)))
+    rows, kind = placed(docs, key, text, rest_of(keep, key, text)), docs.schema[key].dataType.simpleString()
     store = Store(docs.sparkSession, "repeats")
-    owners = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # not known
+        size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    owners = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // OWNED)
 
     def ask(level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +289,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS,
             if asked:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*asked, strict=True)], names=["owner", "chunk", "hashes", "more", "docs", "places"])
 
-    read = rows.select("k", "t")
+    read = rows.select("k", "t", "spot")
     for level in range(levels - 1):
         _answered(read.mapInArrow(ask(level), "owner long, chunk string, hashes binary, twice binary"), _repeated, store, str(level))
     if levels == 1:
