@@ -9,12 +9,13 @@ first expands the annuli of one segment, the one with the best bound at its near
 score found there, to the segments that the bounds leave, where it expands the annuli from the nearest outwards.
 
 The pivots are fitted to a bounded sample; every vector is indexed, and results are exact whatever the pivots are. The
-driver holds the pivots and a directory of one row for SEGMENT vectors. Queries travel in blocks to segments.
+driver holds the pivots and a directory of DIRECTORY segments or little more, as segments of larger tables hold more vectors.
+Queries travel in blocks to segments.
 
 Vectors that are null or hold a null, NaN or infinite component take no part. Shorter vectors count as padded with
-zeros. Scores are exact while they stay below 2^53. Ties go to the smaller id; equal ids are told apart by nothing, so a
-query leaves out all rows with its own id. Null ids take no part. Only `key` and `vector` are read. An empty table gives an
-empty result.
+zeros. Scores are exact: where the largest squared norm reaches 2^53, products are worked out in whole numbers of any size, and a
+score beyond 64 bits raises OverflowError. Ties go to the smaller id; equal ids are told apart by nothing, so a query leaves out all
+rows with its own id. Null ids take no part. Only `key` and `vector` are read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from quire.session import ship
 K, SCALE = 5, 256
 PIVOTS, PIVOT_SAMPLE = 32, 4_096
 ANNULUS, SEGMENT, BLOCK = 512, 4_096, 256
+#: Segments that the driver lists, and cells of a matrix of queries by segments.
+DIRECTORY, CELLS = 65_536, 1 << 22
 
 
 def fit_pivots(x: np.ndarray, n: int = PIVOTS, rounds: int = 5) -> np.ndarray:
@@ -74,7 +77,7 @@ def _matrix(column: pa.Array, dim: int, scale: int) -> np.ndarray:
 
 
 def _rows(data: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(data, "<i4").reshape(-1, dim).astype(float)
+    return np.frombuffer(data, "<f8").reshape(-1, dim)
 
 
 def _pack(size: int):
@@ -111,9 +114,10 @@ def search(vectors: DataFrame, queries: Column, k: int = K, key: str = "vec_id",
     rows = vectors.select(F.col(key).alias(key), F.col(vector).alias("x")).filter(clean & F.col(key).isNotNull())
     rows = rows.select(F.col(key).cast("long").alias("id"), F.transform("x", lambda c: c.cast("double")).alias("x"), queries.alias("asks"))
     empty = spark.createDataFrame([], f"query_id long, rank int, {key} long, score long")
-    dim = rows.agg(F.max(F.size("x")).alias("dim")).first()["dim"]
-    if dim is None:
+    dim, held = rows.agg(F.max(F.size("x")), F.count("*")).first()
+    if not dim:
         return empty
+    segment = max(SEGMENT, -(-held // DIRECTORY))
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [float((_matrix(b.column(0), dim, scale) ** 2).sum(1).max()) for b in batches if b.num_rows]
@@ -128,11 +132,11 @@ def search(vectors: DataFrame, queries: Column, k: int = K, key: str = "vec_id",
             x = _matrix(b.column(1), dim, scale)
             far = distances(lifted(x, top), points)
             own = far.argmin(1) if len(x) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(far[np.arange(len(x)), own]), b.column(0), pa.array([v.tobytes() for v in x.astype("<i4")], pa.binary()), b.column(2)], names=["cell", "r", "id", "x", "asks"])
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(far[np.arange(len(x)), own]), b.column(0), pa.array([v.tobytes() for v in x.astype("<f8")], pa.binary()), b.column(2)], names=["cell", "r", "id", "x", "asks"])
 
     keyed = cut(rows.mapInArrow(assign, "cell long, r double, id long, x binary, asks boolean"))
     ordered = keyed.select("cell", "r", "id", "x").repartitionByRange("cell", "r", "id").sortWithinPartitions("cell", "r", "id")
-    packed = ordered.mapInArrow(_pack(SEGMENT), "cell long, r binary, id binary, x binary")
+    packed = ordered.mapInArrow(_pack(segment), "cell long, r binary, id binary, x binary")
     segments = cut(packed.withColumn("segment", F.monotonically_increasing_id()))
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,14 +157,14 @@ def search(vectors: DataFrame, queries: Column, k: int = K, key: str = "vec_id",
         return ((x**2).sum(1)[:, None] + top - gap**2) / 2 + slack
 
     def first_stop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, len(cells)):
             x = _rows(b"".join(b.column(1).to_pylist()), dim)
             home = np.array(b.column(2).to_numpy())
             best = np.where(cells[None, :] == home[:, None], bound(x), -np.inf).argmax(1) if len(x) else np.zeros(0, int)
             yield pa.RecordBatch.from_arrays([pa.array(names[best]), b.column(0), b.column(1), pa.array(np.full(len(x), -np.inf))], names=["segment", "id", "x", "least"])
 
     def other_stops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, len(cells)):
             x, done, least = _rows(b"".join(b.column(1).to_pylist()), dim), b.column(2).to_numpy(), b.column(3).to_numpy()
             q, s = np.nonzero((bound(x) >= least[:, None]) & (names[None, :] != done[:, None]))
             yield pa.RecordBatch.from_arrays([pa.array(names[s]), b.column(0).take(pa.array(q)), b.column(1).take(pa.array(q)), pa.array(least[q])], names=["segment", "id", "x", "least"])
@@ -172,8 +176,8 @@ def search(vectors: DataFrame, queries: Column, k: int = K, key: str = "vec_id",
                 qid, q, least = np.frombuffer(qid, "<i8"), _rows(q, dim), np.frombuffer(least, "<f8")
                 r, ids, x = np.frombuffer(r, "<f8"), np.frombuffer(ids, "<i8"), _rows(x, dim)
                 scores, found = expanded(q, qid, least, distances(asking(q), points[cell : cell + 1])[:, 0], r, ids, x, k, top, slack)
-                real = np.isfinite(scores)
-                yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array([v.tobytes() for v in q.astype("<i4")], pa.binary()), pa.array(np.full(len(qid), segment)), pa.array(np.maximum(np.where(real.sum(1) == k, scores[:, -1], -np.inf), least) if k else least), pa.array([i[m].tolist() for i, m in zip(found, real, strict=True)], pa.list_(pa.int64())), pa.array([s[m].astype(np.int64).tolist() for s, m in zip(scores, real, strict=True)], pa.list_(pa.int64()))], names=["id", "x", "segment", "least", "found", "scores"])
+                real = scores != -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array([v.tobytes() for v in q.astype("<f8")], pa.binary()), pa.array(np.full(len(qid), segment)), pa.array(np.maximum(np.where(real.sum(1) == k, scores[:, -1], -np.inf).astype(float), least) if k else least), pa.array([i[m].tolist() for i, m in zip(found, real, strict=True)], pa.list_(pa.int64())), pa.array([[int(v) for v in s[m]] for s, m in zip(scores, real, strict=True)], pa.list_(pa.int64()))], names=["id", "x", "segment", "least", "found", "scores"])
 
     def visit(stops: DataFrame) -> DataFrame:
         blocks = stops.repartitionByRange("segment", "id").sortWithinPartitions("segment", "id").mapInArrow(_pack(BLOCK), "segment long, id binary, x binary, least binary")
@@ -191,6 +195,14 @@ def search(vectors: DataFrame, queries: Column, k: int = K, key: str = "vec_id",
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows that a matrix of them by `width` columns has CELLS cells at most."""
+    rows = max(1, CELLS // max(width, 1))
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def expanded(q: np.ndarray, qid: np.ndarray, least: np.ndarray, far: np.ndarray, r: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, top: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
     """The k best of a segment for each query (-inf where there are fewer): annuli from the nearest outwards, until no bound reaches the k-th score."""
     starts = np.arange(0, len(ids), ANNULUS)
@@ -198,7 +210,10 @@ def expanded(q: np.ndarray, qid: np.ndarray, least: np.ndarray, far: np.ndarray,
     gap = np.maximum(np.maximum(low[None, :] - far[:, None], far[:, None] - high[None, :]), 0)
     limit = ((q**2).sum(1)[:, None] + top - gap**2) / 2 + slack
     order = np.argsort(gap, axis=1, kind="stable")
-    scores, found = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+    exact = float if top < 1 << 53 else object
+    scores, found = np.full((len(q), k), -np.inf).astype(exact), np.full((len(q), k), np.iinfo(np.int64).max)
+    if exact is object:  # whole numbers of any size
+        q, x = (np.array([[int(v) for v in row] for row in m], object).reshape(m.shape) for m in (q, x))
     for turn in range(len(starts)):
         which = order[:, turn]
         live = limit[np.arange(len(q)), which] >= np.maximum(scores[:, -1], least)
