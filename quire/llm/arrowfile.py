@@ -2,12 +2,12 @@
 
 encode_to_files() range-sorts the documents by key, appends an end id to each, and writes one shard per partition: a
 stream of record batches whose two columns are fixed-size lists, `ids` (uint16 where that holds every id of the vocabulary,
-else uint32) and `mask` (bool, false where the last sequence is padded). Beside it lies the shard's index (key, start in the shard, length). A shard's ids follow those of the
+else uint32) and `mask` (uint8, 0 where the last sequence is padded, else 1: bits couldn't be read in place). Beside it lies the shard's index (key, start in the shard, length). A shard's ids follow those of the
 shard before it, so a document's place among all ids is its shard's base plus its start; the bases are a running sum over
 one number per shard. Files are moved into place when complete, so a task that is run again replaces the same file.
 
-Null and empty texts have the end id alone. Repeated keys and rows are kept, in the order of (key, hash of the text); a
-null key sorts first. Only `key` and `text` are read, so other columns don't matter. An empty table gives shards without rows.
+Null and empty texts have the end id alone. Repeated keys and rows are kept, in the order of (key, hash of the text), and dealt
+to shards by both, so that a key that many rows have, or a null one, doesn't fill one; a null key sorts first. Only `key` and `text` are read, so other columns don't matter. An empty table gives shards without rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ SEQUENCE, BATCH = 2_048, 64
 
 def sequence_schema(length: int, ids: int) -> pa.Schema:
     """ids: the number of ids that may occur."""
-    return pa.schema([("ids", pa.list_(pa.uint16() if ids <= 1 << 16 else pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
+    return pa.schema([("ids", pa.list_(pa.uint16() if ids <= 1 << 16 else pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
 
 
 class ShardWriter:
@@ -54,7 +54,7 @@ class ShardWriter:
             full = -(-len(part) // self.length) * self.length
             ids = np.zeros(full, self.kind)
             ids[: len(part)] = part
-            columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, np.arange(full) < len(part))]
+            columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, (np.arange(full) < len(part)).astype(np.uint8))]
             self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
         self.held, self.size = [rest], len(rest)
 
@@ -75,8 +75,7 @@ class Shard:
         self.unit = self.length * self.batches[0].num_rows if self.batches else 0
 
     def flat(self, i: int, column: str = "ids") -> np.ndarray:
-        values = self.batches[i].column(column).flatten()
-        return values.to_numpy(zero_copy_only=column == "ids")
+        return self.batches[i].column(column).flatten().to_numpy(zero_copy_only=True)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """n ids from place `start`; without a copy if they lie in one batch."""
@@ -108,7 +107,7 @@ def encode_to_files(docs: DataFrame, vocabulary: str, end_id: int = 0, key: str
     store = Store(spark, "tokens")
     rows = picked(docs, key, text)
     kind = rows.schema["k"].dataType.simpleString()
-    ordered = rows.repartitionByRange("k").sortWithinPartitions("k", F.xxhash64("t"))
+    ordered = rows.withColumn("h", F.xxhash64("t")).repartitionByRange("k", "h").sortWithinPartitions("k", "h").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
