@@ -7,7 +7,8 @@ large enough), and resolves conflicts by rank: piece number r of the run takes p
 move to the run of their new size, and the sweep goes on; what no gap can take opens sequences. The runs (bounded by the
 capacity) are swept on the driver; ranking the pieces and placing them, all that grows with the data, is distributed:
 a piece's rank is its number within (length, salt) plus what the salts before it hold, so that no length, however common,
-meets in one task. No piece is dropped and none is cut that fits.
+meets in one task. A piece finds its placement, the one that holds its rank, by binary search in the list of all (one closure, of some
+tens of numbers for each length). No piece is dropped and none is cut that fits.
 
 Null and empty texts count as the end id alone. Repeated rows and keys are packed each. Only `key` and `text` are read. An
 empty table gives an empty result.
@@ -31,6 +32,8 @@ from quire.llm.tokens import json_encoder
 CAPACITY = 4_096
 #: Rows of one length that a task may have to number; a salt for each so many, and SALTS at least.
 SALTED, SALTS = 50_000, 64
+#: Placements that a task may hold.
+PLACEMENTS = 2_000_000
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -97,7 +100,6 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tup
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, piece, start, length, ids_crc32, sequence_id, offset, of each piece."""
-    spark = docs.sparkSession
     pieces = cut(pieces_of(docs, vocabulary, end_id, capacity, key, text))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     placed, _ = best_fit(counts, capacity)
@@ -106,8 +108,18 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPA
     held = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = held.select("length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     ranked = salted.withColumn("r", F.row_number().over(W.partitionBy("length", "salt").orderBy("k", "piece")) - 1).join(before, ["length", "salt"])
-    plan = spark.createDataFrame(pa.table({n: pa.array([p[i] for p in placed], pa.int64()) for i, n in enumerate(("length", "lo", "hi", "first", "offset"))}))
-    rank = F.col("before") + F.col("r")
-    # The plan's size is bounded by the capacity, not by the documents.
-    done = ranked.withColumn("rank", rank).join(F.broadcast(plan), "length").filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return done.select(F.col("k").alias(key), "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    plan = np.array(sorted(placed), np.int64).reshape(-1, 5)  # its size follows the capacity, not the documents
+    if len(plan) > PLACEMENTS:
+        raise ValueError(f"{len(plan)} placements, more than {PLACEMENTS}: use a smaller capacity")
+
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = plan[:, 0] << 40 | plan[:, 1]
+        for b in batches:
+            length, rank = b.column(3).to_numpy(), b.column(5).to_numpy()
+            at = np.searchsorted(order, length << 40 | rank, "right") - 1
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(plan[at, 3] + rank - plan[at, 1]), pa.array(plan[at, 4])], names=["k", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    kind = pieces.schema["k"].dataType.simpleString()
+    done = ranked.select("k", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("r")).cast("long").alias("rank"))
+    done = done.mapInArrow(located, f"k {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return done.withColumnRenamed("k", key)
