@@ -16,6 +16,10 @@ from functools import lru_cache
 _ODD = re.compile("[^\n\x20-\x7e¡-¬®-įĲ-ſ]")
 
 
+#: Keys of more characters aren't remembered, so that a memory's bytes are bounded too.
+LONG = 64
+
+
 class Memory(dict):
     """Forgets what wasn't asked for in the last `size` or more new keys."""
 
@@ -27,6 +31,8 @@ class Memory(dict):
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
+            if len(key) > LONG:
+                return found
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
@@ -50,7 +56,7 @@ class RankEncoder:
         self.lib = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
         self.first = Memory(lambda p: _ids(self.lib.encode_ordinary(p)), 50_000)
-        self.spaced = Memory(lambda p: _ids(self.lib.encode_ordinary(" " + p)), 250_000)
+        self.spaced = Memory(lambda p: _ids(self.lib.encode_ordinary(" " + p)), 120_000)
 
     def ends(self, text: str) -> list[int]:
         """Where each pre-token ends."""
@@ -92,7 +98,7 @@ class JsonEncoder:
         self.model = self.lib.model
         self.token = Memory(self._token, 100_000)
         self.first = Memory(self._piece, 50_000)
-        self.spaced = Memory(self._piece if self.words else lambda p: self._piece(" " + p), 250_000)
+        self.spaced = Memory(self._piece if self.words else lambda p: self._piece(" " + p), 150_000)
 
     def _token(self, word: str) -> bytes:
         return _ids([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
