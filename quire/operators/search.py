@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions import text as X
 from quire.functions import vectors as V
+from quire.session import settled
 
 RRF_K, NO_RANK, SPARSE_CUT = 60, 100, 30
 
@@ -24,14 +26,18 @@ def where(chunks: DataFrame, **equal: str | None) -> DataFrame:
     return chunks
 
 
-def dense(chunks: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key`, bp (cosine in ten-thousandths) and dense_rank of every chunk; a query has at most `dim` buckets, so it is broadcast."""
+def dense(chunks: DataFrame, query: str, key: str = "doc_id", text: str = "text", cut: int | None = None) -> DataFrame:
+    """`key`, bp and dense_rank of every chunk, or of the first `cut`."""
+    return ranked(scores(chunks, query, key, text), "bp", key, "dense_rank", cut)
+
+
+def scores(chunks: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`key`, bp (cosine in ten-thousandths) of every chunk; a query has at most `dim` buckets, so it is broadcast."""
     vectors = V.features(chunks, key, text)
     asked = query_vector(chunks.sparkSession, query)
     norm = asked.agg(F.coalesce(F.sum(F.col("qw") * F.col("qw")), F.lit(0)).alias("qn"))
     both = vectors.join(F.broadcast(asked), "bucket", "left").groupBy(key).agg(F.sum(F.col("weight") * F.coalesce("qw", F.lit(0))).alias("dot"), F.sum(F.col("weight") * F.col("weight")).alias("norm2"))
-    scored = chunks.select(key).join(both, key, "left").join(F.broadcast(norm)).select(key, F.coalesce(V.basis_points(F.col("dot"), F.col("norm2"), F.col("qn")), F.lit(0)).alias("bp"))
-    return ranked(scored, "bp", key, "dense_rank")
+    return chunks.select(key).join(both, key, "left").join(F.broadcast(norm)).select(key, F.coalesce(V.basis_points(F.col("dot"), F.col("norm2"), F.col("qn")), F.lit(0)).alias("bp"))
 
 
 def ranked(rows: DataFrame, by: str, key: str, to: str, cut: int | None = None) -> DataFrame:
@@ -74,10 +80,25 @@ def fused(dense_hits: DataFrame, sparse_hits: DataFrame, key: str = "doc_id") ->
 
 
 def hybrid(chunks: DataFrame, query: str, k: int | None = 10, key: str = "doc_id", text: str = "text", order: str = "insertion", **equal: str | None) -> DataFrame:
-    """The k best chunks (all if k is null or not positive). The sparse list is cut before the conditions, dense ranks are given after them."""
-    found = fused(dense(where(chunks, **equal), query, key, text), sparse(chunks, query, key, text, order=order), key)
-    found = found.orderBy(F.desc("rrf"), F.desc("bp"), "dense_rank")
-    return found.limit(k) if k and k > 0 else found
+    """The k best chunks (all if k is null or not positive). The sparse list is cut before the conditions, dense ranks are given after them.
+    A chunk without a sparse rank can only be among the k best if it is among the k of the highest dense ranks, so those and the
+    sparse list (SPARSE_CUT rows) are all that is ranked; a sparse hit's dense rank is a count of what is better."""
+    listed, kept = sparse(chunks, query, key, text, order=order), where(chunks, **equal)
+    best = lambda found: found.orderBy(F.desc("rrf"), F.desc("bp"), "dense_rank")
+    if not k or k <= 0:
+        return best(fused(dense(kept, query, key, text), listed, key))
+    scored = scores(kept, query, key, text)
+    top = scored.orderBy(F.desc("bp"), key).limit(k)
+    top = top.withColumn("dense_rank", F.row_number().over(W.orderBy(F.desc("bp"), key)))
+    hits = settled(scored.join(F.broadcast(listed.select(key)), key, "left_semi"))
+    known = hits.collect()  # SPARSE_CUT rows at most
+    if known:
+        better = [F.count_if((F.col("bp") > r.bp) | ((F.col("bp") == r.bp) & (F.col(key) < F.lit(r[key])))).alias(f"n{i}") for i, r in enumerate(known)]
+        counts = scored.agg(*better).select(F.posexplode(F.array(*(F.col(f"n{i}") for i in range(len(known))))).alias("i", "n"))
+        ranked_hits = chunks.sparkSession.createDataFrame([(i, r[key], r.bp) for i, r in enumerate(known)], T.StructType([T.StructField("i", T.IntegerType()), scored.schema[key], T.StructField("bp", T.LongType())]))
+        ranks = ranked_hits.join(F.broadcast(counts), "i").select(key, "bp", (F.col("n") + 1).cast("int").alias("dense_rank"))
+        top = top.unionByName(ranks).dropDuplicates([key])
+    return best(fused(top, listed, key)).limit(k)
 
 
 def browse(rows: DataFrame, class_: str, *then: str) -> DataFrame:

@@ -27,7 +27,7 @@ f AS (SELECT doc_id, bucket, CAST(sum(n * wt) AS BIGINT) AS weight FROM w JOIN v
 DENSE = f"""WITH docs AS (SELECT doc_id, text FROM documents {{where}} UNION ALL SELECT -1, '{ASKED}'), {HASHED.format(docs="docs")},
 q AS (SELECT bucket, weight AS qw FROM f WHERE doc_id = -1), qn AS (SELECT sum(qw * qw) AS qn FROM q),
 s AS (SELECT doc_id, sum(weight * coalesce(qw, 0)) AS dot, sum(weight * weight) AS n2 FROM f LEFT JOIN q USING (bucket) WHERE doc_id >= 0 GROUP BY doc_id),
-bp AS (SELECT d.doc_id, coalesce(CAST(round(CASE WHEN n2 > 0 AND qn > 0 THEN dot / (sqrt(CAST(n2 AS DOUBLE)) * sqrt(CAST(qn AS DOUBLE))) * 10000 ELSE 0 END) AS BIGINT), 0) AS bp FROM docs d LEFT JOIN s USING (doc_id), qn WHERE d.doc_id >= 0),
+bp AS (SELECT d.doc_id, coalesce(CAST(round_even(CASE WHEN n2 > 0 AND qn > 0 THEN dot / (sqrt(CAST(n2 AS DOUBLE)) * sqrt(CAST(qn AS DOUBLE))) * 10000 ELSE 0 END, 0) AS BIGINT), 0) AS bp FROM docs d LEFT JOIN s USING (doc_id), qn WHERE d.doc_id >= 0),
 dense AS (SELECT doc_id, bp, CAST(row_number() OVER (ORDER BY bp DESC, doc_id) AS INTEGER) AS dense_rank FROM bp)"""
 TOKENS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
 SPARSE = f"""sparse AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS sparse_rank FROM (SELECT doc_id FROM documents WHERE list_has_any({TOKENS.format("text")}, {TOKENS.format(f"'{ASKED}'")}) ORDER BY doc_id LIMIT 30))"""
@@ -47,7 +47,7 @@ def hash_embed_norms(t: Tables) -> DataFrame:
 
 @query(DENSE.format(where="") + "SELECT doc_id, bp, dense_rank FROM dense WHERE dense_rank <= 20")
 def dense_topk_text(t: Tables) -> DataFrame:
-    return search.dense(t.documents, ASKED).filter("dense_rank <= 20").select("doc_id", "bp", "dense_rank")
+    return search.dense(t.documents, ASKED, cut=20).select("doc_id", "bp", "dense_rank")
 
 
 @query(f"WITH {SPARSE} SELECT * FROM sparse")

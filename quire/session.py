@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -15,3 +16,14 @@ def ship(spark: SparkSession) -> SparkSession:
     if top not in paths:
         held["PYTHONPATH"] = os.pathsep.join(filter(None, [top, *paths]))
     return spark
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, worked out once and kept in spark.checkpoint.dir. In local mode a folder of this machine will do where none is set; a cluster has to name one."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and context.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or "file://" + os.path.join(tempfile.gettempdir(), "quire-checkpoints"))
+    return df.checkpoint()
