@@ -38,7 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: Rows of a few numbers that may be sent to every executor.
-SMALL = 150_000
+SMALL = 50_000
 
 
 def within(df: DataFrame, rows: int = SMALL) -> DataFrame:
