@@ -79,3 +79,22 @@ def profile(rows_by_level: list[DataFrame], key: str) -> DataFrame:
         held = level if held is None else held.unionByName(level)
     w = W.partitionBy(key).orderBy("_level")
     return held.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_level")
+
+
+CLASSES = ("6", "7", "8", "9", "10", "11", "12")
+SUBJECTS = ("mental_ability", "mathematics", "science", "physics", "chemistry", "biology", "social_science", "english")
+
+
+def filter_lists(rows: DataFrame, class_: str, subject: str) -> DataFrame:
+    """kind (class or subject), value, place: the usual values and those of the rows; classes by number, subjects in lower case by name."""
+    usual = rows.sparkSession.range(1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value")) for k, vs in (("class", CLASSES), ("subject", SUBJECTS)) for v in vs))).alias("u")).select("u.*")
+    found = rows.select(F.explode(F.array(F.struct(F.lit("class").alias("kind"), F.col(class_).cast("string").alias("value")), F.struct(F.lit("subject").alias("kind"), F.lower(F.col(subject)).alias("value")))).alias("u")).select("u.*").filter("value <> ''")
+    order = W.partitionBy("kind").orderBy(F.when(F.col("kind") == "class", F.coalesce(F.col("value").try_cast("int"), F.lit(2**31 - 1))), "value")
+    return usual.unionByName(found.distinct()).distinct().withColumn("place", F.row_number().over(order))  # some values of two kinds
+
+
+def tenants(rows: DataFrame, tenant: str) -> DataFrame:
+    """Of each tenant its questions, papers, and its classes and subjects in order; by falling questions and papers, then name."""
+    sets = {c: F.array_sort(F.collect_set(c)) for c in ("class_level", "subject")}
+    out = rows.groupBy(tenant).agg(F.count("*").alias("questions"), F.countDistinct("paper_id").alias("papers"), sets["class_level"].alias("classes"), sets["subject"].alias("subjects"))
+    return out.orderBy(F.desc("questions"), F.desc("papers"), tenant)

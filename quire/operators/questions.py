@@ -154,18 +154,25 @@ def classified(rows: DataFrame, text: str = "text", n_options: str = "n_options"
     return rows.withColumn("requires_table_data", q == "match_the_following").withColumn("confidence", F.when(low, "low").when((q == "single_choice_mcq") & (n < 4), "medium").otherwise("high"))
 
 
-def issues(rows: DataFrame, key: str, text: str = "text", n_options: str = "n_options", n_images: str = "n_images") -> DataFrame:
-    """`key`, issue, severity: what the validation of classified rows finds."""
-    q, n = F.col("question_type"), F.col(n_options)
+def issues_of(text: Column, n_options: Column, n_images: Column) -> Column:
+    """What the validation of a classified row finds, as an array of (issue, severity)."""
+    q, n = F.col("question_type"), n_options
     made = lambda when, issue, severity: F.when(when, F.struct(issue.alias("issue"), F.lit(severity).alias("severity")))
-    found = F.array_compact(F.array(
+    return F.array_compact(F.array(
         made((q == "assertion_reason") & (n != 4), F.format_string("assertion_reason question has %d options, expected exactly 4", n), "critical"),
-        made(F.col("requires_image") & (F.col(n_images) == 0), F.lit("question references a figure/diagram but has no image_placeholder attached"), "critical"),
+        made((q == "assertion_reason") & ~F.contains(F.lower(text), F.lit("assertion")), F.lit("classified as assertion_reason but no 'Assertion' text found in stem"), "critical"),
+        made(F.col("requires_image") & (n_images == 0), F.lit("question references a figure/diagram but has no image_placeholder attached"), "critical"),
         made(F.col("missing_image_reference"), F.lit("text references a figure/diagram but no image was detected nearby in source PDF"), "critical"),
+        made((q == "single_choice_mcq") & (n < 2), F.format_string("single_choice_mcq has only %d options (expected at least 2)", n), "critical"),
         made((q == "true_false") & (n > 0) & (n != 2), F.format_string("true_false has %d options array (expected 2)", n), "minor"),
         made(q == "match_the_following", F.lit("match_the_following question has no structured column table_data"), "minor"),
-        made(F.length(F.trim(F.col(text))) < 15, F.lit("stem is shorter than 15 characters"), "critical"),
     ))
+
+
+def issues(rows: DataFrame, key: str, text: str = "text", n_options: str = "n_options", n_images: str = "n_images") -> DataFrame:
+    """`key`, issue, severity: what the validation of classified rows finds, and stems that are too short."""
+    short = F.when(F.length(F.trim(F.col(text))) < 15, F.array(F.struct(F.lit("stem is shorter than 15 characters").alias("issue"), F.lit("critical").alias("severity"))))
+    found = F.concat(issues_of(F.col(text), F.col(n_options), F.col(n_images)), F.coalesce(short, F.array().cast("array<struct<issue:string,severity:string>>")))
     return rows.select(key, F.explode(found).alias("i")).select(key, "i.issue", "i.severity")
 
 
@@ -223,9 +230,9 @@ def sections(markdown: DataFrame, key: str, text: str) -> DataFrame:
 
 def alternatives(body: Column) -> Column:
     """A question and its alternatives: the parts between lines that only say OR."""
-    return F.transform(F.split(body, r"(?mi)^\s*\[?or\]?\s*$"), F.trim)
+    return F.transform(F.split(body, r"(?mi)^\s*\[?or\]?\s*$"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
 
 
 def subparts(body: Column) -> Column:
     """The parts that open with (a) to (e) or a roman number in brackets."""
-    return F.transform(F.slice(F.split(F.regexp_replace(body, r"(?m)^\s*(?=\((?:[a-e]|i{1,3}|iv|v)\)\s)", "\u0001"), "\u0001"), 2, 1000), F.trim)
+    return F.transform(F.slice(F.split(F.regexp_replace(body, r"(?m)^\s*(?=\((?:[a-e]|i{1,3}|iv|v)\)\s)", "\u0001"), "\u0001"), 2, 1000), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))

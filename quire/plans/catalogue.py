@@ -10,11 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import questions, relational, retrieval
+from quire.plans import exam, questions, relational, retrieval
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (retrieval, questions, relational):
+for _module in (retrieval, questions, exam, relational):
     QUERIES |= _module.BOOK.queries
     ORACLE_SQL |= _module.BOOK.sql
