@@ -104,6 +104,12 @@ class _Replacing:
             self.system.delete_file(self.held)
 
 
+def written(df: DataFrame, store: Store, name: str) -> DataFrame:
+    """df as a table of files in the store, which holds less than a checkpoint does."""
+    df.write.parquet(f"{store.uri}/{name}")
+    return df.sparkSession.read.parquet(f"{store.uri}/{name}")
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, as an array of strings; null and blank texts have none."""
     flat = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))

@@ -169,7 +169,7 @@ def chunks_of(batches: Iterator[pa.RecordBatch], window: int, levels: int) -> It
     _words = None
 
 
-def _bits(store: Store, name: str, n: int) -> np.ndarray:
+def bits(store: Store, name: str, n: int) -> np.ndarray:
     if not n:
         return np.zeros(0, bool)
     data = store.get(name)
@@ -198,21 +198,21 @@ def _level(chunk: Chunk, store: Store, levels: int) -> None:
     """Applies the answers of all levels before `levels`."""
     for level in range(levels):
         values, _ = chunk.sent()
-        chunk.extend(values[_bits(store, f"{chunk.name}.{level}", len(values))])
+        chunk.extend(values[bits(store, f"{chunk.name}.{level}", len(values))])
 
 
-def _owner(values: np.ndarray, bits: int, owners: int) -> np.ndarray:
+def owner_of(values: np.ndarray, bits: int, owners: int) -> np.ndarray:
     """Who owns a hash: ranges of its upper 32 bits, so that sorted hashes stay together."""
     return ((values >> np.uint64(bits - 32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
 
 
-def _spans(owner: np.ndarray) -> Iterator[tuple[int, slice]]:
+def spans(owner: np.ndarray) -> Iterator[tuple[int, slice]]:
     at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]][: len(owner)])
     for a, b in zip(at, np.r_[at[1:], len(owner)][: len(at)], strict=True):
         yield int(owner[a]), slice(a, b)
 
 
-def _answered(asked: DataFrame, answer, store: Store, suffix: str) -> None:
+def answered(asked: DataFrame, answer, store: Store, suffix: str) -> None:
     """Each owner answers what chunks ask; a chunk's answers are put into its file."""
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -229,7 +229,7 @@ def _told(pdf: pd.DataFrame, bits: list[np.ndarray]) -> pd.DataFrame:
     return pd.DataFrame({"owner": pdf["owner"], "chunk": pdf["chunk"], "n": [len(b) for b in bits], "bits": [np.packbits(b).tobytes() for b in bits]})
 
 
-def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
+def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     """Which hashes another chunk has too, or the same chunk twice."""
     values = [_short(b) for b in pdf["hashes"]]
     twice = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(v)).astype(bool) for b, v in zip(pdf["twice"], values, strict=True)]
@@ -273,7 +273,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS,
             for chunk in chunks_of(batches, window, levels):
                 _level(chunk, store, level)
                 values, twice = chunk.sent()
-                asked = [(o, chunk.name, values[s].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT].tobytes(), np.packbits(twice[s]).tobytes()) for o, s in _spans(_owner(values, 8 * SENT, owners))]
+                asked = [(o, chunk.name, values[s].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT].tobytes(), np.packbits(twice[s]).tobytes()) for o, s in spans(owner_of(values, 8 * SENT, owners))]
                 if asked:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*asked, strict=True)], names=["owner", "chunk", "hashes", "twice"])
 
@@ -285,16 +285,16 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS,
             order, starts = chunk.groups()
             first = order[starts]
             h, m, doc, place = chunk.hash[first], chunk.more[first].astype("<u4"), chunk.doc[chunk.at[first]], chunk.place[chunk.at[first]].astype("<u4")
-            asked = [(o, chunk.name, *(_planes(x[s]) for x in (h, m, doc, place))) for o, s in _spans(_owner(h, 64, owners))]
+            asked = [(o, chunk.name, *(_planes(x[s]) for x in (h, m, doc, place))) for o, s in spans(owner_of(h, 64, owners))]
             if asked:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*asked, strict=True)], names=["owner", "chunk", "hashes", "more", "docs", "places"])
 
     read = rows.select("k", "t", "spot")
     for level in range(levels - 1):
-        _answered(read.mapInArrow(ask(level), "owner long, chunk string, hashes binary, twice binary"), _repeated, store, str(level))
+        answered(read.mapInArrow(ask(level), "owner long, chunk string, hashes binary, twice binary"), repeated, store, str(level))
     if levels == 1:
         raise ValueError("the last level follows one that it can double")
-    _answered(read.mapInArrow(ask_last, "owner long, chunk string, hashes binary, more binary, docs binary, places binary"), _later, store, "last")
+    answered(read.mapInArrow(ask_last, "owner long, chunk string, hashes binary, more binary, docs binary, places binary"), _later, store, "last")
 
     pa_rest = to_arrow_type(rows.schema["rest"].dataType)
 
@@ -302,7 +302,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS,
         for chunk in chunks_of(batches, window, levels):
             _level(chunk, store, levels - 1)
             _, starts = chunk.groups()
-            gone = chunk.removed(_bits(store, f"{chunk.name}.last", len(starts)))
+            gone = chunk.removed(bits(store, f"{chunk.name}.last", len(starts)))
             total = np.r_[0, np.cumsum(gone)]
             n_words, n_removed = chunk.ends - chunk.starts, total[chunk.ends] - total[chunk.starts]
             texts = [cleaned(chunk.texts[i], gone[a:b] if r else None, spacing) for i, a, b, r in zip(chunk.order, chunk.starts, chunk.ends, n_removed, strict=True)]

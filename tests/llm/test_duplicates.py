@@ -222,13 +222,14 @@ def test_groups_of_a_task_are_bounded_whatever_a_value_holds(spark, monkeypatch)
         monkeypatch.setattr(bands, name, value)
     seen = spark.sparkContext.accumulator(0)
     n = 130
-    items = spark.createDataFrame([(i, 7, 5, 5) for i in range(n)], "id long, fp long, v0 long, v1 long")
-    texts = items.selectExpr("id", "cast(id as string) as line")
+    keyed = spark.createDataFrame([(5, i) for i in range(n)], "key long, id long")
+    texts = keyed.selectExpr("id", "cast(id as string) as line")
+    sketch = lambda lines: (np.zeros(len(lines), np.int64), np.zeros((len(lines), 4), np.uint32))
 
     def same(x, y):
         seen.add(1)
         return {x, y} == {"3", "77"}
 
-    got = {tuple(r) for r in bands.clusters(items, 4, lambda near: texts.join(near.select("id"), "id"), str, same).collect()}
+    got = {tuple(r) for r in bands.clusters(keyed, 4, lambda near: texts.join(near, "id"), sketch, str, same).collect()}
     assert got == {(3, 3), (77, 3)}
     assert seen.value >= n * (n - 1) // 2 - 1
