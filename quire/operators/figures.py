@@ -53,6 +53,11 @@ def resolved(references: DataFrame, ref: str, *steps: tuple[DataFrame, str]) ->
     return references.withColumn("url", F.coalesce(*names)).drop(*names)
 
 
+def union_box(boxes: DataFrame, *by: str) -> DataFrame:
+    """The box around the boxes (x0, y0, x1, y1) of each group."""
+    return boxes.groupBy(*by).agg(*(F.min(c).alias(c) for c in ("x0", "y0")), *(F.max(c).alias(c) for c in ("x1", "y1")))
+
+
 def letters(position: Column) -> Column:
     """0 is a, 25 is z; from 26 on the number itself."""
     return F.when(position < 26, F.char(position + 97)).otherwise((position + 1).cast("string"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,6 +106,75 @@ def hybrid(chunks: DataFrame, query: str, k: int | None = 10, key: str = "doc_id
     return best(fused(top, listed, key)).limit(k)
 
 
+#: Queries that are searched for together at most, as every task holds their vectors.
+TOGETHER = 20_000
+
+
+def batch(chunks: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", query: str = "query_id") -> DataFrame:
+    """`query`, `key`, rank, rrf, bp: the k best chunks of each of a counted set of queries (`query`, `text`), as hybrid() ranks them. Chunks are
+    scored where they are, against all queries by one product of matrices; a task gives each query's k best and its first
+    SPARSE_CUT matches. A second pass counts what is better than each of those matches."""
+    asked = queries.select(F.col(query).cast("long").alias("q"), "text").collect() if queries.count() <= TOGETHER else None
+    if asked is None:
+        raise ValueError(f"more than {TOGETHER} queries: search for them in parts")
+    spark, n = chunks.sparkSession, len(asked)
+    names, words = [r.q for r in asked], [{*re.findall(r"\w+", r.text.lower())} for r in asked]
+    matrix = np.zeros((V.DIM, n))
+    for r in V.features(queries.select(F.col(query).cast("long").alias("q"), "text"), "q", "text").collect():
+        matrix[r.bucket, names.index(r.q)] = r.weight
+    lengths, of_word = np.sqrt((matrix**2).sum(axis=0)), {}
+    for i, found in enumerate(words):
+        for w in found:
+            of_word.setdefault(w, []).append(i)
+    held = settled(V.vectors(chunks, key, text))
+
+    def scored(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        x = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i4").reshape(b.num_rows, V.DIM).astype(float)
+        scale = np.sqrt((x * x).sum(axis=1))[:, None] * lengths[None, :]
+        return b.column(0).to_numpy(), np.rint(np.divide(x @ matrix, scale, out=np.zeros(scale.shape), where=scale > 0) * 10_000).astype(np.int64)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                ids, bp = scored(part)
+                out: list[tuple[int, int, int, bool]] = []
+                for i in range(n):
+                    best = np.lexsort((ids, -bp[:, i]))[:k]
+                    out += [(names[i], int(ids[j]), int(bp[j, i]), False) for j in best]
+                matched: dict[int, list[int]] = {}
+                for j, t in enumerate(part.column(2).to_pylist()):
+                    for i in {i for w in {*re.findall(r"\w+", t.lower())} & of_word.keys() for i in of_word[w]}:
+                        matched.setdefault(i, []).append(j)
+                for i, js in matched.items():
+                    out += [(names[i], int(ids[j]), int(bp[j, i]), True) for j in sorted(js, key=lambda j: ids[j])[:SPARSE_CUT]]
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["q", "key", "bp", "sparse"])
+
+    found = settled(held.mapInArrow(first, "q long, key long, bp long, sparse boolean"))
+    top = found.filter("not sparse").withColumn("dense_rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("bp"), "key"))).filter(F.col("dense_rank") <= k)
+    listed = settled(found.filter("sparse").withColumn("sparse_rank", F.row_number().over(W.partitionBy("q").orderBy("key"))).filter(F.col("sparse_rank") <= SPARSE_CUT).select("q", "key", "bp", "sparse_rank"))
+    hits = [(names.index(r.q), r.bp, r.key) for r in listed.select("q", "bp", "key").collect()]  # SPARSE_CUT rows for each query at most
+
+    def better(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, least, place = (np.array([h[c] for h in hits], np.int64) for c in range(3))
+        total = np.zeros(len(hits), np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                ids, bp = scored(b.slice(at, 1000))
+                for lo in range(0, len(hits), 512):
+                    part = slice(lo, lo + 512)
+                    mine = bp[:, of[part]]
+                    total[part] += ((mine > least[part]) | ((mine == least[part]) & (ids[:, None] < place[part]))).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in of], pa.int64()), pa.array(place), pa.array(total)], names=["q", "key", "n"])
+
+    counts = held.select("k", "v").mapInArrow(better, "q long, key long, n long").groupBy("q", "key").agg((F.sum("n") + 1).cast("int").alias("dense_rank"))
+    both = top.select("q", "key", "bp", "dense_rank").unionByName(listed.join(counts, ["q", "key"]).select("q", "key", "bp", "dense_rank")).dropDuplicates(["q", "key"])
+    ranks = both.join(listed.select("q", "key", "sparse_rank"), ["q", "key"], "left")
+    ranks = ranks.withColumn("rrf", F.round((1.0 / (RRF_K + F.col("dense_rank")) + 1.0 / (RRF_K + F.coalesce("sparse_rank", F.lit(NO_RANK)))) * 1_000_000).cast("bigint"))
+    order = W.partitionBy("q").orderBy(F.desc("rrf"), F.desc("bp"), "dense_rank")
+    return ranks.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("q").alias(query), F.col("key").alias(key), "rank", "rrf", "bp")
+
+
 def browse(rows: DataFrame, class_: str, *then: str) -> DataFrame:
     """By class as a number (others as 0), then by further columns."""
     number = F.when(F.col(class_).rlike("^[0-9]+$"), F.col(class_).try_cast("int")).otherwise(0)

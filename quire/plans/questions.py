@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire import sources
@@ -22,29 +23,44 @@ def lines(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
 
 
-@query("""SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) > 0 AND length(regexp_replace(text, '[^\\x{0900}-\\x{0FFF}\\x{1000}-\\x{109F}]', '', 'g')) * 1.0 / greatest(length(regexp_replace(text, '\\s', '', 'g')), 1) < 0.3 AS english FROM documents""")
+SCRIPTS = "CASE doc_id % 4 WHEN 0 THEN repeat(chr(2361), CAST(length(text) AS INTEGER)) WHEN 1 THEN repeat(chr(61553), CAST(length(text) AS INTEGER)) WHEN 2 THEN chr(2361) || chr(61553) ELSE '' END"
+
+
+@query(f"""SELECT doc_id, v > 0 AND length(regexp_replace(s, '[^\\x{{0900}}-\\x{{0FFF}}\\x{{1000}}-\\x{{109F}}]', '', 'g')) * 1.0 / greatest(v, 1) < 0.3 AND length(regexp_replace(s, '[^\\x{{E000}}-\\x{{F8FF}}]', '', 'g')) * 1.0 / greatest(v, 1) < 0.2 AS english FROM (SELECT doc_id, s, length(regexp_replace(s, '\\s', '', 'g')) AS v FROM (SELECT doc_id, text || {SCRIPTS} AS s FROM documents))""")
 def english_dominance(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", X.english_dominant(F.col("text")).alias("english"))
+    more = F.expr("CASE doc_id % 4 WHEN 0 THEN repeat('ह', length(text)) WHEN 1 THEN repeat('\uf071', length(text)) WHEN 2 THEN 'ह\uf071' ELSE '' END")
+    return t.documents.select("doc_id", X.english_dominant(F.concat("text", more)).alias("english"))
+
+
+NOISE = "chr(10) || 'P a g e 3 | 4' || chr(10) || 'see Class XII' || chr(10) || repeat(chr(2361), 5) || ' word' || chr(10) || '[2 Marks]' || chr(10) || 'a last line'"
+NOISY_LINES = f"(SELECT doc_id, line, CAST(n AS INTEGER) AS n FROM (SELECT doc_id, unnest(string_split(s, chr(10))) AS line, generate_subscripts(string_split(s, chr(10)), 1) - 1 AS n FROM (SELECT doc_id, text || {NOISE} AS s FROM documents)))"
 
 
-@query(f"""SELECT doc_id, n, line FROM {LINES} WHERE trim(line) <> '' AND NOT (regexp_matches(line, '(?i)Class[\\-\\s]*X|Sample\\s+Paper|Page\\s+\\d+\\s+of\\s+\\d+') OR regexp_matches(line, '(?i)^(Page\\s*\\d+|\\d+\\s*of\\s*\\d+)$') OR regexp_matches(line, '(?i)^\\s*(\\[\\s*\\]|[()\\[\\],''"`]|\\d+\\s*Marks?|\\[\\d+(\\s*Marks?)?\\]|\\(\\d+(\\s*Marks?)?\\))\\s*$'))""")
+@query(f"""SELECT doc_id, n, line FROM {NOISY_LINES} WHERE trim(line) <> '' AND NOT (coalesce(length(regexp_replace(line, '[^\\x{{0900}}-\\x{{109F}}]', '', 'g')) * 1.0 / nullif(length(replace(line, ' ', '')), 0), 0) > 0.2 OR regexp_matches(line, '(?i)P\\s*a\\s*g\\s*e\\s*\\d+\\s*\\|\\s*\\d+') OR regexp_matches(line, '(?i)Class[\\-\\s]*X|Sample\\s+Paper|Page\\s+\\d+\\s+of\\s+\\d+') OR regexp_matches(line, '(?i)^(Page\\s*\\d+|\\d+\\s*of\\s*\\d+)$') OR regexp_matches(line, '(?i)^\\s*(\\[\\s*\\]|[()\\[\\],''"`]|\\d+\\s*Marks?|\\[\\d+(\\s*Marks?)?\\]|\\(\\d+(\\s*Marks?)?\\))\\s*$'))""")
 def line_noise_filter(t: Tables) -> DataFrame:
-    return lines(t).filter((F.trim("line") != "") & ~X.noise_line(F.col("line"))).select("doc_id", "n", "line")
+    noisy = t.documents.withColumn("text", F.concat("text", F.lit("\nP a g e 3 | 4\nsee Class XII\n" + "ह" * 5 + " word\n[2 Marks]\na last line")))
+    return noisy.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).filter((F.trim("line") != "") & ~X.noise_line(F.col("line"))).select("doc_id", "n", "line")
 
 
 VERBS = "|".join(X.COMMANDS)
 AIMS = "|".join(X.TARGETS)
 
 
-@query(f"""SELECT doc_id, n FROM (SELECT *, lower(trim(line)) AS l FROM {LINES}) WHERE l <> '' AND NOT (contains(l, '?') OR regexp_matches(l, '=\\s*[\\d?.]') OR regexp_matches(l, '\\b[a-d]\\)\\s+\\w+'))
+TOLD = "chr(10) || CASE doc_id % 6 WHEN 0 THEN 'Answer any two of the questions' WHEN 1 THEN 'Each one will carry 2 marks' WHEN 2 THEN 'Do all questions now' WHEN 3 THEN 'Choose the option: why?' WHEN 4 THEN 'Select the following a) word' ELSE 'Find the following' END"
+TOLD_LINES = f"(SELECT doc_id, line, CAST(n AS INTEGER) AS n FROM (SELECT doc_id, unnest(string_split(s, chr(10))) AS line, generate_subscripts(string_split(s, chr(10)), 1) - 1 AS n FROM (SELECT doc_id, text || {TOLD} AS s FROM documents)))"
+
+
+@query(f"""SELECT doc_id, n FROM (SELECT *, lower(trim(line)) AS l FROM {TOLD_LINES}) WHERE l <> '' AND NOT (contains(l, '?') OR regexp_matches(l, '=\\s*[\\d?.]') OR regexp_matches(l, '\\b[a-d]\\)\\s+\\w+'))
 AND ((regexp_matches(l, '^({VERBS})') AND regexp_matches(l, '{AIMS}')) OR (contains(l, 'carry') AND contains(l, 'mark')) OR contains(l, 'all questions')) AND length(l) < 160 AND NOT regexp_matches(l, '\\b(why|how|what|where|when|which|who|calculate|prove|derive|find)\\b')""")
 def instruction_lines(t: Tables) -> DataFrame:
-    return lines(t).filter(X.instruction_line(F.col("line"))).select("doc_id", "n")
+    told = t.documents.select("doc_id", F.split(F.concat("text", F.expr(TOLD.replace("chr(10)", "'\\n'"))), "\n").alias("l"))
+    return told.select("doc_id", F.posexplode("l").alias("n", "line")).filter(X.instruction_line(F.col("line"))).select("doc_id", "n")
 
 
-@query("SELECT doc_id, replace(replace(replace(replace(text, 'th', 'θ'), 'er', chr(1)), 'on', '≤'), chr(1), '') AS text FROM documents")
+@query("""SELECT doc_id, replace(replace(replace(replace(text, 'th', 'θ'), 'er', chr(1)), 'on', '≤'), chr(1), '') || ' "#()≤≥ Ω []λμπθ{αβγ}∞ → ∫× ∈  → [ ][ ]=+-×÷' AS text FROM documents""")
 def glyph_normalize(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", X.normal_glyphs(X.replaced(F.col("text"), {"th": "\uf071", "er": "\uf0b7", "on": "\uf03c"})).alias("text"))
+    every = F.lit("".join(X.GLYPHS) + "\uf123\u0939\u200b\u25a1")
+    return t.documents.select("doc_id", X.normal_glyphs(F.concat(X.replaced(F.col("text"), {"th": "\uf071", "er": "\uf0b7", "on": "\uf03c"}), every)).alias("text"))
 
 
 @query("SELECT doc_id, replace(replace(text, 'th', '\\theta'), 'on', '\\rightarrow') AS text FROM documents")
@@ -106,12 +122,11 @@ def audit_missing_items(t: Tables) -> DataFrame:
     return Q.missing(t.documents, t.labels, "doc_id")
 
 
-@query("""SELECT conv_id, turn, list_aggregate(list_sort(list_distinct(list_concat(a, b))), 'string_agg', ',') AS either, list_aggregate(list_sort(list_filter(list_distinct(b), lambda x: NOT list_contains(a, x))), 'string_agg', ',') AS missing
-FROM (SELECT conv_id, turn, list_slice(w, 1, 6) AS a, list_slice(w, 4, 12) AS b FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)) WHERE len(b) > 3""")
+@query("SELECT conv_id, turn, '[IMAGE_PLACEHOLDER_1],[IMAGE_PLACEHOLDER_0]' || CASE WHEN turn > 1 THEN ',[IMAGE_PLACEHOLDER_' || turn || ']' ELSE '' END AS placeholders FROM conversations")
 def reconcile_sets(t: Tables) -> DataFrame:
-    w = t.conversations.select("conv_id", "turn", F.split("text", " ").alias("w")).select("conv_id", "turn", F.slice("w", 1, 6).alias("a"), F.slice("w", 4, 9).alias("b")).filter(F.size("b") > 3)
-    gone = F.array_sort(F.array_except("b", "a"))
-    return w.select("conv_id", "turn", F.array_join(F.array_sort(F.array_union("a", "b")), ",").alias("either"), F.nullif(F.array_join(gone, ","), F.lit("")).alias("missing"))
+    span = F.concat(F.lit("[IMAGE_PLACEHOLDER_1] "), "text", F.lit(" [IMAGE_PLACEHOLDER_"), F.col("turn").cast("string"), F.lit("] [IMAGE_PLACEHOLDER_1]"))
+    both = Q.reconciled(span, F.array(F.lit("[IMAGE_PLACEHOLDER_1]"), F.lit("[IMAGE_PLACEHOLDER_0]")))
+    return t.conversations.select("conv_id", "turn", F.array_join(both, ",").alias("placeholders"))
 
 
 @query("""SELECT doc_id, CASE WHEN contains(s, 'MATH') OR (e AND q BETWEEN 41 AND 60 AND NOT contains(s, 'MENTAL')) THEN CASE WHEN contains(s, 'MENTAL') OR (e AND q BETWEEN 1 AND 40) THEN 'mental_ability' ELSE 'mathematics' END WHEN contains(s, 'MENTAL') OR (e AND q BETWEEN 1 AND 40) THEN 'mental_ability' WHEN e AND q >= 61 THEN 'english' WHEN contains(s, 'SCIENCE') THEN 'science' ELSE lang END AS subject,
@@ -128,12 +143,11 @@ def section_carry_forward(t: Tables) -> DataFrame:
     return Q.carried(t.conversations, "conv_id", "turn", F.when(F.col("role") == "user", F.col("turn")), "section").select("conv_id", "turn", "section")
 
 
-@query("SELECT conv_id, turn, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, length(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)) > 200 AS next_is_long FROM conversations")
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN turn + 1 WHEN turn % 3 = 1 AND length(after) > 5 AND NOT starts_with(after, 'Page') AND NOT starts_with(after, 'Marks') THEN turn + 1 END AS number
+FROM (SELECT conv_id, turn, lead(l) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Q' || (turn + 1) || '. ' || text WHEN 1 THEN CAST(turn + 1 AS VARCHAR) ELSE CASE WHEN conv_id % 2 = 0 THEN 'Page of ' ELSE 'ZQ ' END || text END AS l FROM conversations))""")
 def lookahead_lead(t: Tables) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("conv_id").orderBy("turn")
-    return t.conversations.select("conv_id", "turn", F.lead("role").over(w).alias("next_role"), (F.length(F.lead("text").over(w)) > 200).alias("next_is_long"))
+    line = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Q"), (F.col("turn") + 1).cast("string"), F.lit(". "), "text")).when(F.col("turn") % 3 == 1, (F.col("turn") + 1).cast("string")).otherwise(F.concat(F.when(F.col("conv_id") % 2 == 0, "Page of ").otherwise("ZQ "), "text"))
+    return Q.number_of(t.conversations.withColumn("line", line), "conv_id", "turn", "line").select("conv_id", "turn", F.col("number").cast("bigint").alias("number"))
 
 
 @query("SELECT user_id, block, count(*) AS n, min(event_id) AS first_id FROM (SELECT user_id, event_id, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM events) GROUP BY ALL")
@@ -172,15 +186,17 @@ def cross_page_asof(t: Tables) -> DataFrame:
     return figures.continued(e.withColumnRenamed("event_id", "image"), e.withColumnRenamed("event_id", "seq"), ["user_id"], "image")
 
 
-@query("SELECT conv_id, replace(string_agg(role || ':' || substr(text, 1, 20), ' ' ORDER BY turn), ' user:', chr(10) || 'user:') AS text, min(turn) AS x0, max(turn) AS x1 FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(role || ':' || text, ' ' ORDER BY turn) AS text, min(turn) AS x0, max(turn) AS x1 FROM conversations WHERE turn % 4 NOT IN (1, 2) GROUP BY conv_id")
 def ordered_line_assembly(t: Tables) -> DataFrame:
-    words = t.conversations.select("conv_id", F.col("turn").alias("seq"), F.concat("role", F.lit(":"), F.substring("text", 1, 20)).alias("text"), F.lit("90").alias("conf"), F.col("turn").alias("x0"), F.col("turn").alias("x1"), F.lit(0).alias("y0"), F.lit(0).alias("y1"))
-    return Q.ocr_lines(words, "conv_id").select("conv_id", F.replace("text", F.lit(" user:"), F.lit("\nuser:")).alias("text"), "x0", "x1")
+    conf = F.expr("CASE turn % 4 WHEN 0 THEN '90.5' WHEN 1 THEN '19' WHEN 2 THEN 'n/a' ELSE '20' END")
+    words = t.conversations.select("conv_id", F.col("turn").alias("seq"), F.concat("role", F.lit(":"), "text").alias("text"), conf.alias("conf"), F.col("turn").alias("x0"), F.col("turn").alias("x1"), F.lit(0).alias("y0"), F.lit(0).alias("y1"))
+    return Q.ocr_lines(words, "conv_id").select("conv_id", "text", "x0", "x1")
 
 
 @query("SELECT user_id, min(value) AS x0, max(value) AS x1, min(event_id) AS y0, max(event_id) AS y1 FROM events GROUP BY user_id")
 def bbox_union(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(F.min("value").alias("x0"), F.max("value").alias("x1"), F.min("event_id").alias("y0"), F.max("event_id").alias("y1"))
+    boxes = t.events.select("user_id", F.col("value").alias("x0"), F.col("value").alias("x1"), F.col("event_id").alias("y0"), F.col("event_id").alias("y1"))
+    return figures.union_box(boxes, "user_id").select("user_id", "x0", "x1", "y0", "y1")
 
 
 @query("SELECT user_id, event_type, value, props FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
@@ -251,10 +267,10 @@ def parse_gates(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", sources.parse_status(F.col("text")).alias("status"))
 
 
-@query("SELECT source AS paper_id, CASE WHEN avg(length(trim(text))) > 200 THEN 'native' ELSE 'scanned' END AS kind FROM documents WHERE doc_id <= 60 GROUP BY source")
+@query("SELECT source AS paper_id, CASE WHEN avg(length(trim(text))) > 200 THEN 'native' ELSE 'scanned' END AS kind FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM documents) WHERE page <= 3 GROUP BY source")
 def native_or_scanned(t: Tables) -> DataFrame:
-    pages = t.documents.select(F.col("source").alias("paper_id"), F.when(F.col("doc_id") <= 60, 1).otherwise(9).alias("page_num"), "text")
-    return sources.scan_kind(pages)
+    page = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))  # only the first three of a source leave a task
+    return sources.scan_kind(t.documents.select(F.col("source").alias("paper_id"), page.alias("page_num"), "text"))
 
 
 @query("SELECT lang, lpad(CAST(count(*) AS VARCHAR), 6, '0') AS n FROM documents GROUP BY lang")

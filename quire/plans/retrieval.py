@@ -91,10 +91,10 @@ def random_sample_seeded(t: Tables) -> DataFrame:
     return search.shuffled(t.documents.select("doc_id", "lang"), "doc_id", 11).limit(20)
 
 
-@query("SELECT string_agg('[' || rn || ']' || chr(10) || item_id || chr(10) || substr(text, 1, 80), chr(10) || chr(10) ORDER BY rn) AS context FROM (SELECT *, row_number() OVER (ORDER BY item_id) AS rn FROM benchmark) WHERE rn <= 5")
+@query("SELECT string_agg('[' || rn || ']' || chr(10) || item_id || chr(10) || text, chr(10) || chr(10) ORDER BY rn) AS context FROM (SELECT *, row_number() OVER (ORDER BY item_id) AS rn FROM benchmark) WHERE rn <= 5")
 def rag_context_render(t: Tables) -> DataFrame:
     top = t.benchmark.orderBy("item_id").limit(5).withColumn("rank", F.row_number().over(W.orderBy("item_id")))
-    return search.rendered(top, "rank", F.col("item_id").cast("string"), F.substring("text", 1, 80))
+    return search.rendered(top, "rank", F.col("item_id").cast("string"), F.col("text"))
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS DOUBLE)) AS e FROM embeddings), n AS (SELECT vec_id, e, list_dot_product(e, e) AS n2 FROM v)
@@ -133,9 +133,9 @@ def pattern_blueprint(t: Tables) -> DataFrame:
     return A.distributions(t.documents.join(t.labels, "doc_id", "left"), "lang", "source", "quality")
 
 
-@query("SELECT doc_id, substr(text, 1, 100) AS example FROM documents WHERE lower(lang) = 'en' ORDER BY doc_id LIMIT 12")
+@query("SELECT doc_id, text AS example FROM documents WHERE lower(lang) = 'en' ORDER BY doc_id LIMIT 12")
 def pattern_examples(t: Tables) -> DataFrame:
-    return A.examples(t.documents.filter(F.lower("lang") == "en").select("doc_id", F.substring("text", 1, 100).alias("example")), "doc_id")
+    return A.examples(t.documents.filter(F.lower("lang") == "en").select("doc_id", F.col("text").alias("example")), "doc_id")
 
 
 @query("SELECT (SELECT string_agg(lang, ',' ORDER BY lang) FROM (SELECT DISTINCT lang FROM documents)) AS lang, (SELECT string_agg(source, ',' ORDER BY source) FROM (SELECT DISTINCT source FROM documents)) AS source")
@@ -178,15 +178,17 @@ def quality_audit_ratios(t: Tables) -> DataFrame:
     return t.documents.agg(F.count("*").alias("questions"), A.ratio(F.length(F.trim("text")) > 15).alias("stem_ok"), A.ratio(~F.contains("text", F.lit("|"))).alias("clean"), A.ratio(F.col("n_chars") > 1000, F.col("lang") == "en").alias("long_english"))
 
 
-@query(f"""WITH k AS (SELECT item_id, {TOKENS.format("text")} AS w FROM benchmark), first AS (SELECT item_id, w[1] AS a, w[4] AS b FROM k),
-hit AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n_chars DESC, doc_id) AS r, text FROM first JOIN documents ON contains(lower(text), b)), best AS (SELECT h.item_id, min(r) AS best FROM hit h JOIN first f ON h.item_id = f.item_id AND (contains(lower(text), a || ' ' || b) OR contains(lower(text), b || ' the')) WHERE r <= 5 GROUP BY ALL)
-SELECT CAST(round(avg(coalesce(1.0::DOUBLE / best, 0)) * 1000000) AS BIGINT) AS mrr, CAST(round(avg(CASE WHEN best IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) * 1000000) AS BIGINT) AS hit_rate FROM first LEFT JOIN best USING (item_id)""")
+@query(f"""WITH docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark), {HASHED.format(docs="docs")},
+n AS (SELECT doc_id, sum(weight * weight) AS n2 FROM f GROUP BY doc_id), q AS (SELECT -1 - doc_id AS item_id, bucket, weight AS qw FROM f WHERE doc_id < 0),
+dots AS (SELECT item_id, doc_id, sum(weight * qw) AS dot FROM f JOIN q USING (bucket) WHERE doc_id >= 0 GROUP BY ALL),
+bp AS (SELECT b.item_id, d.doc_id, coalesce(CAST(round_even(dot / (sqrt(CAST(n.n2 AS DOUBLE)) * sqrt(CAST(m.n2 AS DOUBLE))) * 10000, 0) AS BIGINT), 0) AS bp FROM benchmark b CROSS JOIN documents d LEFT JOIN dots USING (item_id, doc_id) LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN n m ON m.doc_id = -1 - b.item_id),
+dense AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY bp DESC, doc_id) AS dense_rank FROM bp),
+tok AS (SELECT doc_id, {TOKENS.format("text")} AS t FROM documents), sparse AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS sparse_rank FROM (SELECT item_id, {TOKENS.format("text")} AS t FROM benchmark) b JOIN tok ON list_has_any(tok.t, b.t)),
+fused AS (SELECT item_id, doc_id, bp, dense_rank, CAST(round((1.0::DOUBLE / (60 + dense_rank) + 1.0::DOUBLE / (60 + CASE WHEN sparse_rank <= 30 THEN sparse_rank ELSE 100 END)) * 1000000) AS BIGINT) AS rrf FROM dense LEFT JOIN sparse USING (item_id, doc_id)),
+top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, bp DESC, dense_rank) AS r FROM fused), best AS (SELECT item_id, min(r) AS best FROM top JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) WHERE r <= 5 AND contains(lower(d.text), lower(b.text)) GROUP BY item_id)
+SELECT CAST(round(avg(coalesce(1.0::DOUBLE / best, 0)) * 1000000) AS BIGINT) AS mrr, CAST(round(avg(CASE WHEN best IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) * 1000000) AS BIGINT) AS hit_rate FROM benchmark LEFT JOIN best USING (item_id)""")
 def eval_mrr_hitrate(t: Tables) -> DataFrame:
-    w = X.tokens(F.col("text"))
-    first = t.benchmark.select("item_id", F.get(w, F.lit(0)).alias("a"), F.get(w, F.lit(3)).alias("b"))
-    # Evaluation queries are a fixed small set; every document is looked at once for all of them.
-    hit = t.documents.select("doc_id", "n_chars", "text").join(F.broadcast(first), F.contains(F.lower("text"), F.col("b")))
-    hit = hit.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("n_chars"), "doc_id"))).filter("rank <= 5")
-    keys = first.select(F.col("item_id").alias("query_id"), F.array(F.concat_ws(" ", "a", "b"), F.concat("b", F.lit(" the"))).alias("keywords"))
-    out = search.evaluated(hit.select(F.col("item_id").alias("query_id"), "rank", F.col("text").alias("document")), keys)
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
+    hits = search.batch(t.documents, asked, 5).join(t.documents.select("doc_id", F.col("text").alias("document")), "doc_id")
+    out = search.evaluated(hits, asked.select("query_id", F.array("text").alias("keywords")))
     return out.select(F.round(F.col("mrr") * 1_000_000).cast("bigint").alias("mrr"), F.round(F.col("hit_rate") * 1_000_000).cast("bigint").alias("hit_rate"))
