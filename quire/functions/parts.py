@@ -7,12 +7,16 @@ are column expressions. Every function takes any text, null and empty ones inclu
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import dropwhile, groupby, pairwise, takewhile
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions import text as X
+from quire.session import ship
 
 # What must read the same for the same results.
 ASSERTION_CHOICES = (
@@ -55,8 +59,8 @@ _INDIC = re.compile(X.INDIC.replace("\\x{", "\\u").replace("}", ""))
 
 
 def column(function, kind: str, *arguments: Column) -> Column:
-    """A Python function of whole values as an Arrow-batched column function. It is marked so that the optimizer doesn't move it into a lambda."""
-    return F.udf(function, kind, useArrow=True).asNondeterministic()(*arguments)
+    """A Python function of whole values as an Arrow-batched column function."""
+    return F.udf(function, kind, useArrow=True)(*arguments)
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -131,6 +135,19 @@ def gated(text: Column, section: Column, number: Column) -> Column:
     return column(gated_choices, "array<string>", text, section, number)
 
 
+def with_gated(rows: DataFrame, text: str, section: str, number: str, to: str) -> DataFrame:
+    """rows with gated() in column `to`, worked out before anything that follows."""
+    ship(rows.sparkSession)
+    at = [rows.columns.index(c) for c in (text, section, number)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [gated_choices(*x) for x in zip(*(b.column(i).to_pylist() for i in at), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.string()))], names=[*b.schema.names, to])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(to, T.ArrayType(T.StringType()))]))
+
+
 def structured(options: Column) -> Column:
     """Choices as (label, text, latex_text): fractions plain, labels of one letter in upper case, a choice without label numbered by its place."""
     mark = r"^[\(\[\{]?([a-hA-H0-9]{1,3})[\)\]\}\.\:\-]\s*(.+)$"
@@ -221,6 +238,16 @@ def parted(text: Column, options: Column, parts: Column) -> Column:
     return column(lambda t, o, p: dict(zip(("stem", "parts"), stem_and_parts(t, o, p), strict=True)), "struct<stem:string,parts:array<string>>", text, options, parts)
 
 
+def parted_anew(text: Column, values: Column, parts: Column) -> Column:
+    """stem and parts of a text as a struct, without parts that repeat an option of `values`."""
+
+    def both(t, v, p):
+        stem, found = stem_and_parts(t, v, p)
+        return {"stem": stem, "parts": own_parts(found, v)}
+
+    return column(both, "struct<stem:string,parts:array<string>>", text, values, parts)
+
+
 def with_reason(stem: Column, parts: Column) -> Column:
     """stem and parts of an assertion and reason question: the first part with the reason joins the stem, unless that names one."""
     names = lambda p: F.contains(F.lower(p), F.lit("reason")) | F.startswith(F.trim(p), F.lit("(R)"))
@@ -231,6 +258,13 @@ def with_reason(stem: Column, parts: Column) -> Column:
     return F.struct(F.when(told | (F.size(reasons) == 0), stem).otherwise(F.concat_ws("\n", stem, F.get(reasons, F.lit(0)))).alias("stem"), kept.alias("parts"))
 
 
+def own_parts(parts: list | None, values: list | None) -> list[str]:
+    """Parts that neither say an option's text at their end nor are a heading of options; what follows such a heading within a part goes."""
+    cut = (p.split("Options:")[0].strip() for p in map(str.strip, parts or []) if p.lower() not in ("options:", "options", "or") and len(p) >= 3)
+    ends = tuple(v.strip() for v in values or [] if v and v.strip())
+    return [p for p in cut if p and not (ends and p.rstrip(".").endswith(ends))]
+
+
 def split_block(text: str | None) -> list[str]:
     """A numbered block as single questions, divided by labels on lines of their own."""
     lines = [*dropwhile(lambda x: re.match(r"^(?:Q\.?\s*)?\d{1,3}[\.\:]?\s*$", x, re.I), lines_of(text))]

@@ -124,19 +124,17 @@ def refined(chunks: DataFrame, manifest: DataFrame, paper: str = "paper_id", ord
     linked_images (texts). Figure words link the paper's pictures where none is; a chunk of options alone gives them to the one before
     that is kept, if it has none, and goes."""
     content = P.repaired(F.col("content"), F.col("question_number"))
-    rows = chunks.withColumn("content", content)
+    rows = P.with_gated(chunks.withColumns({"content": content, "_s": F.coalesce("section", F.lit("SECTIONA"))}), "content", "_s", "question_number", "_g").drop("_s")
     given = P.structured(serving.texts(F.col("options")))
     read = P.structured(F.transform(Q.options(F.col("content")), lambda o: F.concat(F.lit("("), o["label"], F.lit(") "), o["text"])))
-    gate = P.structured(P.gated(F.col("content"), F.coalesce("section", F.lit("SECTIONA")), F.col("question_number")))
+    gate = P.structured(F.col("_g"))
     rows = rows.withColumns({"_given": given, "_read": read, "_gate": gate})
     chosen = F.when(F.size("_given") > 0, F.col("_given")).when(F.size("_read") > 0, F.col("_read")).otherwise(F.col("_gate"))
     rows = rows.withColumn("_o", chosen)
     labels = F.transform("_o", lambda o: F.upper(o["label"]))
     rows = rows.withColumn("_o", F.filter("_o", lambda o, i: (o["label"] != "") & (F.array_position(labels, F.upper(o["label"])) == i + 1)))
-    rows = rows.withColumn("_p", P.parted(F.col("content"), F.transform("_o", lambda o: o["text"]), serving.texts(F.col("subparts"))))
-    ends = lambda p: F.exists("_o", lambda o: (F.trim(o["text"]) != "") & F.endswith(F.regexp_replace(p, r"\.+$", ""), F.trim(o["text"])))
-    cut = F.transform(F.filter("_p.parts", lambda p: ~F.lower(p).isin(*ORPHAN) & (F.length(p) >= 3)), lambda p: F.trim(F.substring_index(p, "Options:", 1)))
-    rows = rows.withColumns({"stem_text": F.col("_p.stem"), "_parts": F.filter(cut, lambda p: (p != "") & ~ends(p))})
+    rows = rows.withColumn("_p", P.parted_anew(F.col("content"), F.transform("_o", lambda o: o["text"]), serving.texts(F.col("subparts"))))
+    rows = rows.withColumns({"stem_text": F.col("_p.stem"), "_parts": F.col("_p.parts")})
     of_paper = manifest.groupBy(paper).agg(F.array_sort(F.collect_set("placeholder")).alias("_all"))
     rows = rows.join(of_paper, paper, "left")
     linked = serving.texts(F.col("linked_images"))
@@ -150,7 +148,7 @@ def refined(chunks: DataFrame, manifest: DataFrame, paper: str = "paper_id", ord
     taken = (F.size("_o") == 0) & F.col("_spare").isNotNull()
     kind = F.when(taken | (F.size("_o") >= 2), "mcq").when(F.size("_parts") == 0, "short_answer").otherwise("descriptive")
     rows = rows.withColumns({"question_type": kind, "subparts": F.col("_parts"), "has_subparts": F.size("_parts") > 0, "requires_image": F.size("linked_images") > 0, "context_refined": F.lit(True), "_options": options})
-    return rows.withColumn("options", F.col("_options")).drop("_given", "_read", "_gate", "_o", "_p", "_parts", "_all", "_kept", "_spare", "_orphan", "_options")
+    return rows.withColumn("options", F.col("_options")).drop("_g", "_given", "_read", "_gate", "_o", "_p", "_parts", "_all", "_kept", "_spare", "_orphan", "_options")
 
 
 # ---- quality of an extraction

@@ -86,7 +86,7 @@ def test_reconciliation_repairs_from_the_source(spark):
     schema = "question_number string, text string, options array<struct<label:string,text:string>>, placeholders array<string>, span string"
     rows = [("1", "a full stem of text", [], [], "stem (a ) one (b ) two [IMAGE_PLACEHOLDER_2]"), ("2", "x", [], [], "a source of more than thirty characters"), ("3", "a full stem of text", [], [], None)]
     got = {r.question_number: r for r in review.reconciled(spark.createDataFrame(rows, schema)).collect()}
-    assert [o.text for o in got["1"].options] == ["one", "two"] and got["1"].placeholders == ["[IMAGE_PLACEHOLDER_2]"] and got["1"].corrected
+    assert [o.text for o in got["1"].options] == ["one", "two [IMAGE_PLACEHOLDER_2]"] and got["1"].placeholders == ["[IMAGE_PLACEHOLDER_2]"] and got["1"].corrected
     assert got["2"].needs_manual_review and "truncated" in got["2"].review_reason and not got["3"].corrected and got["3"].correction_note is None
 
 
