@@ -49,8 +49,12 @@ def within(df: DataFrame, rows: int = SMALL) -> DataFrame:
 class Store:
     """A new folder of binary files below the shared one. It is pickled to the executors; put() replaces a file at once, so a repeated task is harmless."""
 
+    #: Those that this driver made, in order.
+    made: list[Store] = []
+
     def __init__(self, spark: SparkSession, kind: str):
         ship(spark)
+        Store.made.append(self)
         self.uri = f"{shared_dir(spark).rstrip('/')}/quire-{kind}-{uuid.uuid4().hex}"
 
     def fs(self):

@@ -41,6 +41,21 @@ def test_topk_of_widely_differing_norms(spark):
         assert got[q] == {n + 1: (int(i), int(s[i])) for n, i in enumerate(order)}
 
 
+def test_topk_of_large_components(spark):
+    # products beyond 2^53 stay exact, ties and signs included
+    rng = np.random.default_rng(5)
+    x = np.r_[rng.normal(size=(60, 3)), rng.normal(size=(20, 3)) * 1e6, [[1e7, 0.5, 0.0], [1e7, 0.5, 0.0], [0.5, 0.0, 0.0], [1e7, 0.25, 0.0]]]
+    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    e = [[int(c) for c in np.floor(256 * r)] for r in x]
+    got = {}
+    for r in topk.search(v, F.col("vec_id") % 2 == 0, pivots=4).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    for q in range(0, len(x), 2):
+        want = sorted(((-sum(a * b for a, b in zip(e[q], e[i])), i) for i in range(len(x)) if i != q))[:5]
+        assert got[q] == {n + 1: (i, -s) for n, (s, i) in enumerate(want)}
+    assert got[82][1] == (80, 256 * 10**7 * 128)
+
+
 def test_annuli_stop_early():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 2)) * 1000

@@ -1,12 +1,13 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 
 from quire.llm import arrowfile, bpe, packing
-from quire.llm.tokens import JsonEncoder, RankEncoder
+from quire.llm.tokens import JsonEncoder, Memory, RankEncoder
 
 RANKS = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -62,7 +63,8 @@ def test_token_files(spark, docs, texts, none):
     shard = arrowfile.open_shard(store, shards[0]["shard"])
     ids, mask = shard.sequence(0)
     assert len(ids) == 64 and ids.dtype == np.uint16 and mask.all()
-    assert shard.flat(0).base is not None  # a view of the mapped file
+    assert shard.flat(0).base is not None and shard.flat(0, "mask").base is not None  # views of the mapped file
+    assert np.shares_memory(ids, shard.flat(0)) and np.shares_memory(mask, shard.flat(0, "mask"))
     assert sum(int(shard.flat(i, "mask").sum()) for i in range(len(shard.batches))) == shards[0]["n_tokens"]
     assert arrowfile.read_documents(none, *arrowfile.encode_to_files(none, BYTES)).count() == 0
 
@@ -85,10 +87,38 @@ def test_packing(docs, texts, none):
             assert offset == end
             end += length
         assert end <= 128
-    assert len(held) <= -(-total // 128) * 1.05 + 1
+    assert len(held) <= -(-total // 128) * 1.05 + 1 and len(held) == brute_best_fit([r.length for r in got], 128)
     assert packing.pack(none, WORDS).count() == 0
 
 
+def brute_best_fit(sizes, capacity):
+    """The number of sequences of best fit, size by size from the largest."""
+    gaps = []
+    for size in sorted(sizes, reverse=True):
+        fits = [g for g in gaps if g >= size]
+        gap = min(fits) if fits else capacity
+        if fits:
+            gaps.remove(gap)
+        gaps.append(gap - size)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_uses_as_few_sequences_as_document_by_document(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice((50, 100, 128))
+    sizes = [rng.randint(1, capacity) if rng.random() < 0.5 else rng.randint(1, capacity // 4) for _ in range(600)]
+    assert packing.best_fit(dict(Counter(sizes)), capacity)[1] == brute_best_fit(sizes, capacity)
+
+
+def test_long_pieces_are_not_remembered():
+    made = []
+    memory = Memory(lambda x: made.append(x) or x, 10)
+    for x in ("a", "a", "b" * 100, "b" * 100):
+        assert memory[x] == x
+    assert made == ["a", "b" * 100, "b" * 100] and [*memory] == ["a"]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_best_fit_places_each_rank_once(seed):
     rng = random.Random(seed)
