@@ -148,8 +148,8 @@ def with_gated(rows: DataFrame, text: str, section: str, number: str, to: str) -
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(to, T.ArrayType(T.StringType()))]))
 
 
-def structured(options: Column) -> Column:
-    """Choices as (label, text, latex_text): fractions plain, labels of one letter in upper case, a choice without label numbered by its place."""
+def structured(options: Column, tex: bool = True) -> Column:
+    """Choices as (label, text) and, if `tex`, latex_text: fractions plain, labels of one letter in upper case, a choice without label numbered by its place."""
     mark = r"^[\(\[\{]?([a-hA-H0-9]{1,3})[\)\]\}\.\:\-]\s*(.+)$"
     given = F.filter(F.transform(options, lambda o: F.trim(o)), lambda o: o != "")
 
@@ -158,9 +158,14 @@ def structured(options: Column) -> Column:
         value = F.when(marked, F.trim(F.regexp_extract(o, mark, 2))).otherwise(o)
         name = F.when(marked, F.when(label.rlike("^[a-zA-Z]$"), F.upper(label)).otherwise(label)).otherwise(F.concat(F.lit("#"), (i + 1).cast("string")))
         shown = F.when(marked, X.plain_fractions(value)).otherwise(value)
-        return F.struct(name.alias("label"), shown.alias("text"), X.latex(shown).alias("latex_text"))
+        return F.struct(name.alias("label"), shown.alias("text"))
 
-    return F.coalesce(F.transform(given, one), F.array())
+    found = F.coalesce(F.transform(given, one), F.array().cast(f"array<{OPTION}>"))
+    return with_latex(found) if tex else found
+
+
+def with_latex(options: Column) -> Column:
+    return F.transform(options, lambda o: F.struct(o["label"].alias("label"), o["text"].alias("text"), X.latex(o["text"]).alias("latex_text")))
 
 
 def assertion(text: Column, kind: Column) -> Column:

@@ -210,3 +210,37 @@ def pattern_id(school: Column, name: Column, class_level: Column, subject: Colum
 def relative_paths(json_text: Column) -> Column:
     """JSON text in which every absolute path is cut to what follows from data/ on."""
     return F.regexp_replace(json_text, r'"(?:[A-Za-z]:)?(?:\\\\|/)(?:[^"\\]|\\\\)*?(?:\\\\|/)?data(?:\\\\|/)([^"]*)"', '"data/$1"')
+
+
+# ---- models from outside, each with its rule
+
+
+def divided(rows: DataFrame, key: str, text: str, hook: Callable | None = None) -> DataFrame:
+    """`key`, place, text: numbered blocks as single questions, by a model's hook (Arrow batches of `key` and text to `key`, items) and the
+    clean-up of its answers, else by the rule."""
+    kind = rows.schema[key].dataType.simpleString()
+    by_rule = lambda df: df.select(key, P.column(P.split_block, "array<string>", F.col(text)).alias("items"))
+    found = by_rule(rows) if hook is None else rows.select(key, text).mapInArrow(hook, f"{key} {kind}, items array<string>").select(key, P.column(P.kept_items, "array<string>", F.col("items")).alias("items"))
+    return found.select(key, F.posexplode("items").alias("place", "text"))
+
+
+def enhanced(rows: DataFrame, key: str, text: str, hook: Callable | None = None) -> DataFrame:
+    """`key`, text: set in TeX by a model's hook (Arrow batches to `key`, text), else by the rules."""
+    kind = rows.schema[key].dataType.simpleString()
+    return sources.hooked(rows.select(key, text), f"{key} {kind}, text string", hook, lambda df: df.select(key, X.latex(F.col(text)).alias("text")))
+
+
+def arranged(drafts: DataFrame, hook: Callable | None = None, most: int | None = None) -> DataFrame:
+    """Questions that are flagged, arranged anew by a model's hook, the first `most` by paper and number; all others, and all without a hook,
+    stay. drafts: paper_id, question_number, text, flagged."""
+    if hook is None:
+        return drafts
+    flagged = drafts.filter("flagged").orderBy("paper_id", "question_number")
+    flagged = flagged if most is None else flagged.limit(most)
+    made = flagged.select("paper_id", "question_number", "text").mapInArrow(hook, "paper_id string, question_number string, text string").withColumnRenamed("text", "_new")
+    return drafts.join(made, ["paper_id", "question_number"], "left").withColumn("text", F.coalesce("_new", "text")).drop("_new")
+
+
+def utc_now() -> Column:
+    """The time of the query in UTC, as ISO text."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

@@ -236,3 +236,17 @@ def alternatives(body: Column) -> Column:
 def subparts(body: Column) -> Column:
     """The parts that open with (a) to (e) or a roman number in brackets."""
     return F.transform(F.slice(F.split(F.regexp_replace(body, r"(?m)^\s*(?=\((?:[a-e]|i{1,3}|iv|v)\)\s)", "\u0001"), "\u0001"), 2, 1000), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+
+
+def block_order(number: str = "question_number", page: str = "page_num", y: str = "y0") -> list[Column]:
+    """By number, page and place on it."""
+    return [F.col(number), F.col(page), F.col(y)]
+
+
+def all_distinct(values: Column) -> Column:
+    return F.size(F.array_distinct(values)) == F.size(values)
+
+
+def by_page(questions: DataFrame, paper: str = "paper_id", page: str = "page_num", number: str = "question_number") -> DataFrame:
+    """`paper`, `page` and the numbers of its questions in order."""
+    return questions.groupBy(paper, page).agg(F.array_sort(F.collect_list(number)).alias("numbers"))

@@ -125,9 +125,9 @@ def refined(chunks: DataFrame, manifest: DataFrame, paper: str = "paper_id", ord
     that is kept, if it has none, and goes."""
     content = P.repaired(F.col("content"), F.col("question_number"))
     rows = P.with_gated(chunks.withColumns({"content": content, "_s": F.coalesce("section", F.lit("SECTIONA"))}), "content", "_s", "question_number", "_g").drop("_s")
-    given = P.structured(serving.texts(F.col("options")))
-    read = P.structured(F.transform(Q.options(F.col("content")), lambda o: F.concat(F.lit("("), o["label"], F.lit(") "), o["text"])))
-    gate = P.structured(F.col("_g"))
+    given = P.structured(serving.texts(F.col("options")), False)
+    read = P.structured(F.transform(Q.options(F.col("content")), lambda o: F.concat(F.lit("("), o["label"], F.lit(") "), o["text"])), False)
+    gate = P.structured(F.col("_g"), False)
     rows = rows.withColumns({"_given": given, "_read": read, "_gate": gate})
     chosen = F.when(F.size("_given") > 0, F.col("_given")).when(F.size("_read") > 0, F.col("_read")).otherwise(F.col("_gate"))
     rows = rows.withColumn("_o", chosen)
@@ -148,7 +148,7 @@ def refined(chunks: DataFrame, manifest: DataFrame, paper: str = "paper_id", ord
     taken = (F.size("_o") == 0) & F.col("_spare").isNotNull()
     kind = F.when(taken | (F.size("_o") >= 2), "mcq").when(F.size("_parts") == 0, "short_answer").otherwise("descriptive")
     rows = rows.withColumns({"question_type": kind, "subparts": F.col("_parts"), "has_subparts": F.size("_parts") > 0, "requires_image": F.size("linked_images") > 0, "context_refined": F.lit(True), "_options": options})
-    return rows.withColumn("options", F.col("_options")).drop("_g", "_given", "_read", "_gate", "_o", "_p", "_parts", "_all", "_kept", "_spare", "_orphan", "_options")
+    return rows.withColumn("options", P.with_latex(F.col("_options"))).drop("_g", "_given", "_read", "_gate", "_o", "_p", "_parts", "_all", "_kept", "_spare", "_orphan", "_options")
 
 
 # ---- quality of an extraction

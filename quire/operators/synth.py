@@ -67,3 +67,16 @@ def questions(spark: SparkSession, n: int, topic: str = "", seed: int = 1) -> Da
         return out
 
     return rows.select(i.alias("number"), "topic", "question_type", by_topic(text).alias("text"), by_topic({k: v.cast("bigint") for k, v in answer.items()}).alias("answer"))
+
+
+SVG = '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 200 150">%s</svg>'
+
+
+def figure(topic: Column, a: Column, b: Column) -> Column:
+    """A drawing for the topics that have one: a right triangle with its legs, a circle with a tangent, two overlapping sets; else null."""
+    text = lambda x, y, value: F.concat(F.lit(f'<text x="{x}" y="{y}">'), value.cast("string"), F.lit("</text>"))
+    triangle = F.concat(F.lit('<polygon points="20,130 180,130 20,20" fill="none" stroke="black"/>'), text(100, 145, a), text(5, 80, b))
+    tangent = F.concat(F.lit('<circle cx="80" cy="75" r="50" fill="none" stroke="black"/><line x1="130" y1="10" x2="130" y2="140" stroke="black"/>'), text(100, 70, a))
+    venn = F.concat(F.lit('<circle cx="75" cy="75" r="45" fill="none" stroke="black"/><circle cx="125" cy="75" r="45" fill="none" stroke="black"/>'), text(50, 80, a), text(140, 80, b))
+    drawn = F.when(topic == "triangle", triangle).when(topic == "section", tangent).when(topic == "venn", venn)
+    return F.concat(F.lit(SVG.split("%s")[0]), drawn, F.lit(SVG.split("%s")[1]))

@@ -473,3 +473,42 @@ def unit_vectors(t: Tables) -> DataFrame:
 def enum_checks(t: Tables) -> DataFrame:
     year = F.when(F.col("doc_id") % 2 == 0, "2024-2025").otherwise("2024")
     return t.documents.select("doc_id", (F.col("lang").isin("en", "de") & (F.col("source") != "src1")).alias("known"), X.year_ok(year).alias("year_ok"))
+
+
+@query(f"SELECT doc_id, CAST(n AS INTEGER) AS place, t AS text FROM (SELECT doc_id, unnest(c) AS t, generate_subscripts(c, 1) - 1 AS n FROM (SELECT doc_id, list_filter([trim('ZQ ' || flat), source || ' long enough'], lambda x: length(x) >= 10) AS c FROM {DOCS}))")
+def divided_blocks(t: Tables) -> DataFrame:
+    rows = docs(t).select("doc_id", F.concat(F.lit("Q7\nState whether\nZQ "), "flat", F.lit("\n(a)\n"), "source", F.lit(" long enough\n(b)\nno")).alias("block"))
+    return ingest.divided(rows, "doc_id", "block")
+
+
+@query("SELECT doc_id, bare || ' at $45^\\circ$' AS text FROM (SELECT doc_id, regexp_replace(bare, '\\beg\\b', 'e_g', 'g') AS bare FROM " + WORDS_ONLY + ")")
+def enhanced_texts(t: Tables) -> DataFrame:
+    return ingest.enhanced(docs(t).select("doc_id", F.concat("bare", F.lit(" at 45 deg")).alias("said")), "doc_id", "said")
+
+
+@query("SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderdate, o_totalprice, o_orderkey) AS INTEGER) AS place FROM orders")
+def block_sort(t: Tables) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    order = [*Q.block_order("o_orderpriority", "o_orderdate", "o_totalprice"), F.col("o_orderkey")]
+    return t.orders.select("o_custkey", "o_orderkey", F.row_number().over(W.partitionBy("o_custkey").orderBy(*order)).alias("place"))
+
+
+@query("SELECT source AS paper_id, n_chars % 4 AS page_num, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS numbers FROM documents GROUP BY ALL")
+def questions_by_page(t: Tables) -> DataFrame:
+    rows = t.documents.select(F.col("source").alias("paper_id"), (F.col("n_chars") % 4).alias("page_num"), F.col("doc_id").alias("question_number"))
+    return Q.by_page(rows).select("paper_id", "page_num", F.array_join(F.transform("numbers", lambda n: n.cast("string")), ",").alias("numbers"))
+
+
+@query("SELECT user_id, count(*) = count(DISTINCT event_type) AS distinct_types FROM events GROUP BY user_id")
+def uniqueness_check(t: Tables) -> DataFrame:
+    return t.events.groupBy("user_id").agg(F.collect_list("event_type").alias("v")).select("user_id", Q.all_distinct(F.col("v")).alias("distinct_types"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'triangle' WHEN 1 THEN 'section' WHEN 2 THEN 'venn' ELSE 'heat' END AS topic, c_custkey % 4 <> 3 AS drawn, CASE WHEN c_custkey % 4 <> 3 THEN CAST(c_custkey AS VARCHAR) END AS said FROM customer")
+def drawn_figures(t: Tables) -> DataFrame:
+    from quire.operators import synth
+
+    topic = e("CASE c_custkey % 4 WHEN 0 THEN 'triangle' WHEN 1 THEN 'section' WHEN 2 THEN 'venn' ELSE 'heat' END")
+    drawn = synth.figure(topic, F.col("c_custkey"), F.lit(5))
+    return t.customer.select("c_custkey", topic.alias("topic"), drawn.isNotNull().alias("drawn"), F.nullif(F.regexp_extract(drawn, r">(\d+)</text>", 1), F.lit("")).alias("said"))
