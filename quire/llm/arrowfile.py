@@ -2,7 +2,8 @@
 
 encode_to_files() range-sorts the documents by key, appends an end id to each, and writes one shard per partition: a
 stream of record batches whose two columns are fixed-size lists, `ids` (uint16 where that holds every id of the vocabulary,
-else uint32) and `mask` (uint8, 0 where the last sequence is padded, else 1: bits couldn't be read in place). Beside it lies the shard's index (key, start in the shard, length). A shard's ids follow those of the
+else uint32) and `mask` (a bit for each id, eight to a uint8 from the lowest on, 0 where the last sequence is padded; Arrow's own
+booleans couldn't be read in place). Beside it lies the shard's index (key, start in the shard, length). A shard's ids follow those of the
 shard before it, so a document's place among all ids is its shard's base plus its start; the bases are a running sum over
 one number per shard. Files are moved into place when complete, so a task that is run again replaces the same file.
 
@@ -27,13 +28,15 @@ SEQUENCE, BATCH = 2_048, 64
 
 def sequence_schema(length: int, ids: int) -> pa.Schema:
     """ids: the number of ids that may occur."""
-    return pa.schema([("ids", pa.list_(pa.uint16() if ids <= 1 << 16 else pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(pa.uint16() if ids <= 1 << 16 else pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length // 8))])
 
 
 class ShardWriter:
     """Collects ids and writes full batches of `batch` sequences; close() pads and writes the rest."""
 
     def __init__(self, sink, ids: int, length: int = SEQUENCE, batch: int = BATCH):
+        if length % 8:
+            raise ValueError("a sequence's length has to be a multiple of eight")
         self.length, self.unit, self.held, self.size, self.total = length, length * batch, [], 0, 0
         self.schema = sequence_schema(length, ids)
         self.kind = self.schema.field("ids").type.value_type.to_pandas_dtype()
@@ -54,7 +57,8 @@ class ShardWriter:
             full = -(-len(part) // self.length) * self.length
             ids = np.zeros(full, self.kind)
             ids[: len(part)] = part
-            columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, (np.arange(full) < len(part)).astype(np.uint8))]
+            mask = np.packbits(np.arange(full) < len(part), bitorder="little")
+            columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), n) for x, n in ((ids, self.length), (mask, self.length // 8))]
             self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
         self.held, self.size = [rest], len(rest)
 
@@ -88,9 +92,9 @@ class Shard:
         return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.empty(0, "<u4")])
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence i and its mask."""
+        """Sequence i and its mask, eight ids to a byte: both in place."""
         b, row = divmod(i, self.unit // self.length)
-        return tuple(self.flat(b, c)[row * self.length : (row + 1) * self.length] for c in ("ids", "mask"))
+        return tuple(self.flat(b, c)[row * n : (row + 1) * n] for c, n in (("ids", self.length), ("mask", self.length // 8)))
 
 
 def open_shard(store: Store, name: str) -> Shard:
