@@ -233,3 +233,38 @@ def test_groups_of_a_task_are_bounded_whatever_a_value_holds(spark, monkeypatch)
     got = {tuple(r) for r in bands.clusters(keyed, 4, lambda near: texts.join(near, "id"), sketch, str, same).collect()}
     assert got == {(3, 3), (77, 3)}
     assert seen.value >= n * (n - 1) // 2 - 1
+
+
+def test_many_pairs_are_decided_as_single_ones():
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzéß日", k=rng.randint(1, 9))) for _ in range(500)]
+    passage, pairs = rng.choices(vocabulary, k=60), []
+    for i in range(500):
+        a = rng.choices(vocabulary, k=rng.randint(5, 60 if i % 50 else 400))
+        b = [*a]
+        for _ in range(rng.randint(0, len(a) // 2)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choices(vocabulary, k=rng.randint(0, 2))
+            b = b or [*a]
+        if i % 3 == 0:  # one passage between other words
+            a, b = (rng.choices(vocabulary, k=rng.randint(0, 40)) + passage + rng.choices(vocabulary, k=rng.randint(0, 9)) for _ in "ab")
+        pairs.append((lines.with_words(" ".join(a)), lines.with_words(" ".join(b))))
+    want = [lines.common_words(x[1], y[1]) and lines.distance(x[0], y[0]) <= int(0.2 * max(len(x[0]), len(y[0])) + 1e-9) for x, y in pairs]
+    assert lines.all_similar(pairs) == want and 50 < sum(want) < 450
+
+
+def test_few_rounds_and_jobs_for_components(spark, monkeypatch):
+    # links of one task are stars before any round; cut into small pieces they need some
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 501)], "a long, b long")
+    want, asked, done = {**{i: 0 for i in range(301)}, 500: 500, 501: 500}, [], graph._done
+
+    def counted(edges):
+        asked.append(done(edges))
+        return asked[-1]
+
+    monkeypatch.setattr(graph, "_done", counted)
+    assert dict(tuple(r) for r in graph.components(links).collect()) == want and asked == [True]
+    edges = [graph.rooted(part) for part in ([(1, 2), (2, 3)], [(3, 4), (5, 4)], [(7, 7)])]
+    assert edges == [[(2, 1), (3, 1)], [(4, 3), (5, 3)], []]
+    loose = spark.createDataFrame([(4, 1), (4, 2)], "u long, v long"), spark.createDataFrame([(4, 3), (3, 1)], "u long, v long")
+    assert not any(done(x) for x in loose) and done(spark.createDataFrame([(4, 1), (3, 1)], "u long, v long"))
