@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from quire.llm import bands, graph, shingles
 
 
 def test_stages_keep_columns_and_clean_documents(spark, docs, tmp_path):
@@ -42,3 +45,22 @@ def test_edited_copies_go(spark):
     docs = spark.createDataFrame([(k, t, "en", "src", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.near_duplicate(spark, docs, "").collect()}
     assert {k for k, _ in rows} - kept == want and 40 < len([k for k in want if k < 1000]) < 60
+
+
+def test_near_fingerprints_are_candidates_of_their_own(spark, docs, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = [int(x) for x in rng.integers(0, 1 << 62, 30)]
+    fps = base + [x ^ sum(1 << int(b) for b in rng.choice(62, i % 7, replace=False)) for i, x in enumerate(base)]
+    sets = spark.createDataFrame(list(enumerate(fps)), "id long, fp long")
+    got = dict(tuple(r) for r in graph.components(shingles.near_fingerprints(sets)).collect())
+    assert got == {i + j: i for i, x in enumerate(base) if (x ^ fps[i + 30]).bit_count() <= 4 for j in (0, 30)}
+    # no value in common: the fingerprints alone make them candidates, up to what is verified
+    keyed = spark.createDataFrame([(16 << 32, i) for i in range(60)], "key long, id long")
+    lines = sets.selectExpr("id", "cast(fp as string) as line")
+    sketch = lambda x: (np.array([int(v) for v in x], np.int64), np.arange(2 * len(x), dtype=np.uint32).reshape(-1, 2))
+    for same, want in ((lambda x, y: True, got), (lambda x, y: False, {})):
+        assert {tuple(r) for r in bands.clusters(keyed, 16, lambda near: lines.join(near, "id"), sketch, str, same, 24, None, 4).collect()} == {*want.items()}
+    asked, made = [], shingles.near_fingerprints
+    monkeypatch.setattr(shingles, "near_fingerprints", lambda *a: asked.append(a[1]) or made(*a))
+    corpus_pipeline.near_duplicate(spark, docs, "")
+    assert asked == [4]
