@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quire.llm import bands, graph, lines, simhash, substring
+from quire.llm import _shared, bands, graph, lines, simhash, substring
 from tests.llm.conftest import WORDS
 
 
@@ -268,3 +268,44 @@ def test_few_rounds_and_jobs_for_components(spark, monkeypatch):
     assert edges == [[(2, 1), (3, 1)], [(4, 3), (5, 3)], []]
     loose = spark.createDataFrame([(4, 1), (4, 2)], "u long, v long"), spark.createDataFrame([(4, 3), (3, 1)], "u long, v long")
     assert not any(done(x) for x in loose) and done(spark.createDataFrame([(4, 1), (3, 1)], "u long, v long"))
+
+
+def test_links_of_many_tasks_are_finished_in_one(spark, monkeypatch):
+    # a chain in shuffled order over many tasks: no round is left, whatever the tasks hold; beyond FEW there are rounds
+    chain = [(i, i + 1) for i in range(600)]
+    random.Random(2).shuffle(chain)
+    links, asked, done = spark.createDataFrame(chain, "a long, b long").repartition(7), [], graph._done
+    monkeypatch.setattr(graph, "_done", lambda edges: asked.append(done(edges)) or asked[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert dict(tuple(r) for r in graph.components(links).collect()) == {i: 0 for i in range(601)} and asked == [True]
+        monkeypatch.setattr(graph, "FEW", 10)
+        assert dict(tuple(r) for r in graph.components(links).collect()) == {i: 0 for i in range(601)} and len(asked) > 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_items_with_the_same_values_are_dealt_once(spark, monkeypatch):
+    # all items have the same four values: their pairs are compared once, and not sent again for each value
+    for name, value in (("GROUP", 40), ("TILE", 20), ("PILOTS", 2)):
+        monkeypatch.setattr(bands, name, value)
+    n, sent, verified = 130, [], bands.verified
+    monkeypatch.setattr(bands, "verified", lambda grouped, *a: sent.append(grouped.count()) or verified(grouped, *a))
+    keyed = spark.createDataFrame([((k << 32) + 5, i) for i in range(n) for k in range(4)], "key long, id long")
+    texts = keyed.selectExpr("id", "cast(id as string) as line").distinct()
+    sketch = lambda lines: (np.zeros(len(lines), np.int64), np.full((len(lines), 4), 5, np.uint32))
+    same = lambda x, y: {x, y} in ({"3", "77"}, {"77", "120"})
+    got = {tuple(r) for r in bands.clusters(keyed, 4, lambda near: texts.join(near, "id"), sketch, str, same).collect()}
+    assert got == {(3, 3), (77, 3), (120, 3)} and sent[2] <= n * 7
+
+
+def test_values_of_repeated_items_are_kept_once(spark, monkeypatch):
+    # copies of an item alone make no value repeated; its place is that of its earliest piece of rows
+    monkeypatch.setattr(bands, "PIECE", 3)
+    one = [(1, 10, 1), (2, 20, 2), (3, 10, 1), (4, 30, 3), (5, 10, 1), (6, 30, 3), (7, 40, 2), (8, -5, 9)]  # row, id, what its values are made of
+    rows = spark.createDataFrame([(row, i, row // 2, row, v * (2**32 + 1), v * (2**32 + 1)) for row, i, v in one], "row long, id long, chunk long, at long, v0 long, v1 long").coalesce(1)
+    store = _shared.Store(spark, "test")
+    rows = _shared.written(rows, store, "rows")
+    got = [tuple(r) for r in bands.repeated_values(rows, 4, store).collect()]
+    assert {r[1] for r in got} == {20, 40} and len(got) == len({r[:2] for r in got}) == 8
+    assert sorted(r[1:] for r in got if r[2] is not None) == [(20, 1, 2), (40, 3, 7)]
