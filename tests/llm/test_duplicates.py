@@ -309,3 +309,24 @@ def test_values_of_repeated_items_are_kept_once(spark, monkeypatch):
     got = [tuple(r) for r in bands.repeated_values(rows, 4, store).collect()]
     assert {r[1] for r in got} == {20, 40} and len(got) == len({r[:2] for r in got}) == 8
     assert sorted(r[1:] for r in got if r[2] is not None) == [(20, 1, 2), (40, 3, 7)]
+
+
+def test_lines_that_share_a_passage_are_told_apart_by_pieces(monkeypatch):
+    # half of the words in common: a lower bound from pieces decides, without whole distances; it is never above the distance
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(800)]
+    passage = rng.choices(vocabulary, k=50)
+    family = [lines.with_words(" ".join(rng.choices(vocabulary, k=30) + passage + rng.choices(vocabulary, k=15))) for _ in range(30)]
+    pairs = [(a, b) for i, a in enumerate(family) for b in family[:i]]
+    whole = []
+    monkeypatch.setattr(lines, "_all_near", lambda left, width: whole.extend(left) or [False] * len(left))
+    assert sum(lines.common_words(a[1], b[1]) for a, b in pairs) > 300 and lines.all_similar(pairs) == [False] * len(pairs) and len(whole) < 30
+    pieces = [("".join(rng.choices("abc日", k=64)), "".join(rng.choices("abc日", k=rng.randint(1, 150)))) for _ in range(60)]
+    for (x, y), least in zip(pieces, lines._least(pieces).tolist()):
+        row = [0] * (len(y) + 1)
+        for i, c in enumerate(x, 1):
+            new = [i]
+            for j, e in enumerate(y, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != e)))
+            row = new
+        assert least == min(row)
