@@ -330,3 +330,10 @@ def test_lines_that_share_a_passage_are_told_apart_by_pieces(monkeypatch):
                 new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != e)))
             row = new
         assert least == min(row)
+
+
+def test_links_as_arrays_become_the_same_stars():
+    rng = np.random.default_rng(7)
+    for n, m in ((1, 1), (40, 25), (500, 400), (3000, 5000)):
+        u, v = rng.integers(-n, n, (2, m))
+        assert sorted(zip(*(x.tolist() for x in graph.roots_of(u, v)))) == sorted(graph.rooted(zip(u.tolist(), v.tolist())))
