@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quire.llm import _shared, bands, graph, lines, simhash, substring
+from quire.llm import _shared, bands, graph, lines, simhash, substring, tokens
 from tests.llm.conftest import WORDS
 
 
@@ -337,3 +337,11 @@ def test_links_as_arrays_become_the_same_stars():
     for n, m in ((1, 1), (40, 25), (500, 400), (3000, 5000)):
         u, v = rng.integers(-n, n, (2, m))
         assert sorted(zip(*(x.tolist() for x in graph.roots_of(u, v)))) == sorted(graph.rooted(zip(u.tolist(), v.tolist())))
+
+
+def test_lines_do_not_keep_the_encoders_of_earlier_tasks(monkeypatch):
+    tokens.json_encoder.cache_clear()
+    monkeypatch.setattr(tokens.JsonEncoder, "__init__", lambda self, path: None)
+    tokens.json_encoder("any")
+    assert tokens.json_encoder.cache_info().currsize == 1
+    assert list(lines._listed(5)(iter(()))) == [] and tokens.json_encoder.cache_info().currsize == 0
