@@ -345,3 +345,34 @@ def test_lines_do_not_keep_the_encoders_of_earlier_tasks(monkeypatch):
     tokens.json_encoder("any")
     assert tokens.json_encoder.cache_info().currsize == 1
     assert list(lines._listed(5)(iter(()))) == [] and tokens.json_encoder.cache_info().currsize == 0
+
+
+def test_lines_of_all_lengths_are_compared_at_once(monkeypatch):
+    # in one call, whatever the number of 64-bit words; and as whole distances say, at and beyond the edge of what is looked at
+    rng, pairs, calls, near = random.Random(21), [], [], lines._all_near
+    for k in range(400):
+        a = "".join(rng.choices("abcdefgh ", k=rng.randint(40, 900)))
+        at, n = rng.randrange(len(a)), rng.randint(0, len(a) // 4)
+        b = a[:at] + a[at + n :] if k % 3 else a[n:] + "".join(rng.choices("abcdefgh ", k=n // 2))
+        b = "".join(rng.choice("xyz日") if rng.random() < k % 5 / 25 else c for c in b)
+        pairs.append((lines.with_words(a), lines.with_words(b)))
+    monkeypatch.setattr(lines, "common_words", lambda x, y: True)
+    monkeypatch.setattr(lines, "_all_near", lambda left, width: calls.append(left) or near(left, width))
+    want = [lines.distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9) for (a, _), (b, _) in pairs]
+    assert lines.all_similar(pairs) == want and 50 < sum(want) < 350 and len(calls) == 1
+    far = lines._far([(*sorted((a, b), key=len, reverse=True), int(0.2 * max(len(a), len(b)) + 1e-9)) for (a, _), (b, _) in pairs])
+    assert not any(x and y for x, y in zip(far, want))
+
+
+def test_items_of_wide_values_are_not_joined_once_for_each_tile(spark, monkeypatch):
+    # tiles are files that tasks read pair by pair: each item is sent once, however many tiles there are; links between all tiles are found
+    for name, value in (("GROUP", 40), ("TILE", 20), ("PILOTS", 2)):
+        monkeypatch.setattr(bands, name, value)
+    n, sent, verified = 130, [], bands.verified
+    monkeypatch.setattr(bands, "verified", lambda grouped, *a: sent.append(grouped.count()) or verified(grouped, *a))
+    keyed = spark.createDataFrame([((k << 32) + 5, i) for i in range(n) for k in range(4)], "key long, id long")
+    texts = keyed.selectExpr("id", "cast(id as string) as line").distinct()
+    sketch = lambda lines: (np.zeros(len(lines), np.int64), np.full((len(lines), 4), 5, np.uint32))
+    same = lambda x, y: abs(int(x) - int(y)) == 13
+    got = {tuple(r) for r in bands.clusters(keyed, 4, lambda near: texts.join(near, "id"), sketch, str, same).collect()}
+    assert got == {(i, i % 13) for i in range(n)} and sum(sent[2:]) <= n
