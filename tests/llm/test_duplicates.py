@@ -376,3 +376,13 @@ def test_items_of_wide_values_are_not_joined_once_for_each_tile(spark, monkeypat
     same = lambda x, y: abs(int(x) - int(y)) == 13
     got = {tuple(r) for r in bands.clusters(keyed, 4, lambda near: texts.join(near, "id"), sketch, str, same).collect()}
     assert got == {(i, i % 13) for i in range(n)} and sum(sent[2:]) <= n
+
+
+def test_workers_give_memory_back_before_and_after_a_task(monkeypatch):
+    tokens.json_encoder.cache_clear()
+    monkeypatch.setattr(tokens.JsonEncoder, "__init__", lambda self, path: None)
+    tokens.json_encoder("any")
+    trimmed, trim = [], tokens.trim
+    monkeypatch.setattr(tokens, "trim", lambda: trimmed.append(trim()))
+    seen = [(x, len(trimmed), tokens.json_encoder.cache_info().currsize) for x in tokens.tidy(lambda batches: (2 * x for x in batches))(iter([1, 2]))]
+    assert seen == [(2, 1, 0), (4, 1, 0)] and len(trimmed) == 2
