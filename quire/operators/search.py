@@ -88,11 +88,11 @@ def hybrid(chunks: DataFrame, query: str, k: int | None = 10, key: str = "doc_id
     """The k best chunks (all if k is null or not positive). The sparse list is cut before the conditions, dense ranks are given after them.
     A chunk without a sparse rank can only be among the k best if it is among the k of the highest dense ranks, so those and the
     sparse list (SPARSE_CUT rows) are all that is ranked; a sparse hit's dense rank is a count of what is better."""
-    listed, kept = sparse(chunks, query, key, text, order=order), where(chunks, **equal)
+    listed, kept = settled(sparse(chunks, query, key, text, order=order)), where(chunks, **equal)
     best = lambda found: found.orderBy(F.desc("rrf"), F.desc("bp"), "dense_rank")
     if not k or k <= 0:
         return best(fused(dense(kept, query, key, text), listed, key))
-    scored = scores(kept, query, key, text)
+    scored = settled(scores(kept, query, key, text))  # two numbers a row, read for the best, for the listed and for the counts
     top = scored.orderBy(F.desc("bp"), key).limit(k)
     top = top.withColumn("dense_rank", F.row_number().over(W.orderBy(F.desc("bp"), key)))
     hits = settled(scored.join(F.broadcast(listed.select(key)), key, "left_semi"))
