@@ -18,6 +18,18 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of an Arrow batch that goes to a Python function of texts.
+BATCH = "2m"
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """Batches of BATCH bytes at most, unless the session says otherwise: 10,000 rows, Spark's own measure, may be any number of bytes, and a worker
+    holds a batch's texts, what is made of them and both as Arrow at once."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return spark
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df, worked out once and kept in spark.checkpoint.dir. In local mode a folder of this machine will do where none is set; a cluster has to name one."""
     spark, context = df.sparkSession, df.sparkSession.sparkContext
