@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from quire.functions import text as X
 from quire.functions import vectors as V
-from quire.session import settled
+from quire.session import bounded, settled, ship
 
 RRF_K, NO_RANK, SPARSE_CUT = 60, 100, 30
 
@@ -67,10 +68,28 @@ def sparse(chunks: DataFrame, query: str, key: str = "doc_id", text: str = "text
 
 def bm25(chunks: DataFrame, query: str, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """`key`, score of the chunks with any of the query's tokens; idf = ln((N - n + 0.5) / (n + 0.5)), 1e-6 at least."""
-    held = chunks.select(key, X.tokens(F.col(text)).alias("t")).withColumn("len", F.size("t"))
+    spark = bounded(ship(chunks.sparkSession))
+    terms = spark.range(1).select(F.array_distinct(X.tokens(F.lit(query)))).first()[0]
+    place = {t: i for i, t in enumerate(terms)}
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(r"\w+").findall
+        for b in batches:
+            sizes, found = [], []
+            for t in b.column(1):
+                words = None if t.as_py() is None else find(t.as_py())
+                hits = Counter(filter(place.__contains__, words or ()))
+                sizes.append(None if words is None else len(words))
+                found.append([{"term": x, "tf": n} for x, n in hits.items()])
+            kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(found, kind)], names=["key", "len", "found"])
+
+    hits = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))
+    made = T.StructType([T.StructField("key", chunks.schema[key].dataType), T.StructField("len", T.IntegerType()), T.StructField("found", hits)])
+    # A row's length and its counts of the query's tokens alone, by one reading of the text; no row for each of its tokens.
+    held = settled(chunks.select(F.col(key).alias("key"), F.lower(text).alias("t")).mapInArrow(counted, made))
     total = held.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    terms = chunks.sparkSession.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(X.tokens(F.col("q")))).alias("term"))
-    tf = held.select(key, "len", F.explode("t").alias("term")).join(F.broadcast(terms), "term", "left_semi").groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    tf = held.select(F.col("key").alias(key), "len", F.inline("found")).groupBy(key, "len", "term").agg(F.sum("tf").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("n"))
     idf = F.greatest(F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
