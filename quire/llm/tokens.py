@@ -82,9 +82,10 @@ class RankEncoder:
 
 
 class JsonEncoder:
-    """The tokenizers library's encoding by a JSON file, without special tokens: their strings are ordinary text."""
+    """The tokenizers library's encoding by a JSON file, without special tokens: their strings are ordinary text. size: how many chunks that follow
+    a space are remembered, and two thirds as many pre-tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, size: int = 150_000):
         import json
 
         import regex
@@ -101,9 +102,9 @@ class JsonEncoder:
         self.pattern = regex.compile(split[0] if split else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.letters = _byte_letters()
         self.model = self.lib.model
-        self.token = Memory(self._token, 100_000)
+        self.token = Memory(self._token, size * 2 // 3)
         self.first = Memory(self._piece, 50_000)
-        self.spaced = Memory(self._piece if self.words else lambda p: self._piece(" " + p), 150_000)
+        self.spaced = Memory(self._piece if self.words else lambda p: self._piece(" " + p), size)
 
     def _token(self, word: str) -> bytes:
         return _ids([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
@@ -145,8 +146,8 @@ def rank_encoder(path: str, pattern: str) -> RankEncoder:
 
 
 @lru_cache(maxsize=2)
-def json_encoder(path: str) -> JsonEncoder:
-    return JsonEncoder(path)
+def json_encoder(path: str, size: int = 150_000) -> JsonEncoder:
+    return JsonEncoder(path, size)
 
 
 def forget() -> None:
